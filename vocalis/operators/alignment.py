@@ -7,7 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from vocalis.functions.udf import arrow_function
 
 # Scores of the local alignment.
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -60,7 +60,7 @@ def align(ref: list[str], hyp: list[str], eps: str = "*") -> tuple[int, list[tup
     return score[end][m], [*before, *out[::-1], *after]
 
 
-@pandas_udf(ALIGNMENT)
+@arrow_function(ALIGNMENT)
 def align_characters(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     names = ("ref", "hyp", "refi_from", "hypi_from", "refi_to", "hypi_to")
     found = [align(list(r or ""), list(h or "")) for r, h in zip(ref, hyp, strict=True)]
@@ -82,7 +82,7 @@ def aligned_ngrams(pairs: Column, order: int) -> Column:
     return F.flatten(F.array(*runs))
 
 
-@pandas_udf("array<struct<ref:string,hyp:string>>")
+@arrow_function("array<struct<ref:string,hyp:string>>")
 def error_words(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """Words of the reference that the hypothesis has otherwise, by character alignment."""
     out = []
@@ -101,7 +101,7 @@ def error_words(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@pandas_udf("array<struct<ref:string,hyp:string>>")
+@arrow_function("array<struct<ref:string,hyp:string>>")
 def align_lines(ref: pd.Series, hyp: pd.Series, n: pd.Series) -> pd.Series:
     """An aligned pair of texts in lines, cut at the first space of both after ``n`` characters."""
     out = []
@@ -119,7 +119,7 @@ def align_lines(ref: pd.Series, hyp: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@pandas_udf("array<struct<a:int,b:int,size:int>>")
+@arrow_function("array<struct<a:int,b:int,size:int>>")
 def matching_blocks(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(a, b, strict=True):
@@ -144,12 +144,12 @@ def _edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
     return rows[-1][-1][1:]
 
 
-@pandas_udf("struct<hits:int,sub:int,ins:int,del:int>")
+@arrow_function("struct<hits:int,sub:int,ins:int,del:int>")
 def word_edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_edit_counts((r or "").split(), (h or "").split()) for r, h in zip(ref, hyp, strict=True)], columns=["hits", "sub", "ins", "del"])
 
 
-@pandas_udf("struct<hits:int,sub:int,ins:int,del:int>")
+@arrow_function("struct<hits:int,sub:int,ins:int,del:int>")
 def character_edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_edit_counts(list(r or ""), list(h or "")) for r, h in zip(ref, hyp, strict=True)], columns=["hits", "sub", "ins", "del"])
 

@@ -20,8 +20,13 @@ def top_words(counts: DataFrame, k: int) -> DataFrame:
 def ngram_counts(df: DataFrame, text: Column, orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Counts of runs of tokens, of each order."""
     t = df.select(F.split(text, " ").alias("t"))
-    grams = F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - (n - 1), F.lit(0))), lambda i, n=n: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("t", i, n), " ").alias("gram"))) for n in orders])
-    grams = F.filter(F.flatten(grams), lambda g: F.size(F.split(g["gram"], " ")) == g["n"])
+    gram = "struct<n:int,gram:string>"
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("t") - (n - 1), F.lit(1)))
+        return F.when(F.size("t") >= n, F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("t", i, n), " ").alias("gram")))).otherwise(F.array().cast(f"array<{gram}>"))
+
+    grams = F.flatten(F.array(*[runs(n) for n in orders]))
     return t.select(F.explode(grams).alias("g")).groupBy(F.col("g.n").alias("ngram_order"), F.col("g.gram").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
 
 

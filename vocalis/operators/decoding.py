@@ -7,7 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from vocalis.functions.udf import arrow_function
 
 from vocalis.functions.arrays import arg_max
 
@@ -74,7 +74,7 @@ def ctc_beams(vocab: list[str], blank: int = 0, width: int = 16, n_best: int = 3
     """A function of a column of frames (array of arrays of logits) that gives the best beams; ``lm`` is a table of bounded size."""
     letters = [" " if v == delimiter else v for v in vocab]
 
-    @pandas_udf("array<struct<text:string,score:double>>")
+    @arrow_function("array<struct<text:string,score:double>>")
     def decode(frames: pd.Series) -> pd.Series:
         out = []
         for rows in frames:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.functions import pandas_udf
 
+from vocalis.functions.udf import arrow_function
+
 
 def array_model(load: Callable[[], Callable[[list], list]], returns: str):
     """A function of an array column; the model is loaded once for each task, and a failing row gives null."""
@@ -34,7 +36,7 @@ def infer(df: DataFrame, model: Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
     return df.mapInPandas(model, schema)
 
 
-@pandas_udf("double")
+@arrow_function("double")
 def compression_ratio(text: pd.Series) -> pd.Series:
     """Bytes of a text over its compressed bytes; repetitive texts have a high one."""
     return pd.Series([len((t or "").encode()) / max(1, len(zlib.compress((t or "").encode()))) for t in text])

@@ -74,7 +74,7 @@ def merge_short(df: DataFrame, keys: list[str], tie: str, min_dur: float = 1.5)
     A greedy fold over a key's ordered segments, so a key's segments meet in one row.
     """
     seg = "struct<start:double,end:double>"
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("start", tie, "end"))), lambda x: F.struct(x["start"].cast("double").alias("start"), x["end"].cast("double").alias("end")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col("start"), F.col(tie).alias("tie"), F.col("end")))), lambda x: F.struct(x["start"].cast("double").alias("start"), x["end"].cast("double").alias("end")))
     zero = F.struct(F.array().cast(f"array<{seg}>").alias("done"), F.lit(None).cast(seg).alias("open"))
 
     def step(acc: Column, x: Column) -> Column:

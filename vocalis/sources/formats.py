@@ -9,7 +9,7 @@ import wave
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from vocalis.functions.udf import arrow_function
 
 
 def read_lines(spark: SparkSession, folder: str, pattern: str = "*", limit: int | None = None) -> DataFrame:
@@ -97,7 +97,7 @@ def duplicate_names(manifest: DataFrame, path: str) -> DataFrame:
     return manifest.groupBy(F.substring_index(path, "/", -1).alias("name")).count().filter("count > 1")
 
 
-@pandas_udf("struct<rate:int,samples:array<double>>")
+@arrow_function("struct<rate:int,samples:array<double>>")
 def decode_wav(content: pd.Series) -> pd.DataFrame:
     """PCM WAV of 16 bits to a signal between -1 and 1, channels averaged; null where it isn't one."""
     import numpy as np
@@ -115,7 +115,7 @@ def decode_wav(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["rate", "samples"])
 
 
-@pandas_udf("binary")
+@arrow_function("binary")
 def encode_wav(samples: pd.Series, rate: pd.Series) -> pd.Series:
     import numpy as np
 
