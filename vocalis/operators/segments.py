@@ -121,20 +121,21 @@ def place_after(df: DataFrame, keys: list[str], tie: str, dur_col: str, first: C
 def transfer_labels(segments: DataFrame, labels: DataFrame, keys: list[str], tie: str, label_tie: str, share: float = 0.6, outside: str = "OUTSIDE") -> DataFrame:
     """Give each segment the label of the first labelled span that ends after its start, if it lies inside or overlaps enough.
 
-    After the last span's end the last span stays the candidate. Both sides meet on the key; what is
-    kept of the range join is one span for each segment, found by a minimum that is combined early.
+    After the last span's end the last span stays the candidate; a segment without duration has no share.
+    The first span that ends after a start is where the running maximum of the ends first exceeds it. So
+    segments and spans are put in one order and swept once, backwards: one exchange and no range join.
     """
-    span = F.struct(F.col("l_pos"), F.col("l_start"), F.col("l_end"), F.col("l_label"))
     pos = F.row_number().over(Window.partitionBy(*keys).orderBy("start", label_tie))
+    reach = F.max("l_end").over(Window.partitionBy(*keys).orderBy("l_pos").rowsBetween(Window.unboundedPreceding, 0))
     lab = labels.select(*keys, pos.alias("l_pos"), F.col("start").alias("l_start"), F.col("end").alias("l_end"), F.col("label").alias("l_label"))
-    last = lab.groupBy(*keys).agg(F.max(span).alias("last"))
-    s = segments.alias("s")
-    hit = s.join(lab.alias("l"), [F.col(f"s.{k}") == F.col(f"l.{k}") for k in keys] + [F.col("l.l_end") > F.col("s.start")]).groupBy(*[F.col(f"s.{k}").alias(k) for k in keys], F.col(f"s.{tie}").alias(tie)).agg(F.min(span).alias("hit"))
-    both = segments.join(hit, [*keys, tie], "left").join(last, keys, "left").withColumn("c", F.coalesce("hit", "last"))
-    c = F.col("c")
-    inside = (F.col("start") >= c["l_start"]) & (F.col("end") <= c["l_end"])
-    overlap = (F.least(F.col("end"), c["l_end"]) - F.greatest(F.col("start"), c["l_start"])) / (F.col("end") - F.col("start"))
-    return both.select(*segments.columns, F.when(inside | (overlap >= share), c["l_label"]).otherwise(F.lit(outside)).alias("new_label"))
+    spans = lab.select(*keys, reach.alias("at"), F.lit(0).alias("kind"), "l_pos", F.struct("l_pos", "l_start", "l_end", "l_label").alias("span"))
+    rows = segments.select(*keys, F.col("start").alias("at"), F.lit(1).alias("kind"), F.struct(*segments.columns).alias("row"))
+    swept = Window.partitionBy(*keys).orderBy(F.desc("at"), F.desc("kind"), F.desc("l_pos")).rowsBetween(Window.unboundedPreceding, 0)
+    found = spans.unionByName(rows, allowMissingColumns=True).withColumn("hit", F.last("span", ignorenulls=True).over(swept)).withColumn("last", F.max("span").over(Window.partitionBy(*keys)))
+    c, start, end = F.coalesce("hit", "last"), F.col("row.start"), F.col("row.end")
+    inside = (start >= c["l_start"]) & (end <= c["l_end"])
+    share_of = F.try_divide(F.least(end, c["l_end"]) - F.greatest(start, c["l_start"]), end - start)
+    return found.filter("kind = 1").select("row.*", F.when(inside | (share_of >= share), c["l_label"]).otherwise(F.lit(outside)).alias("new_label"))
 
 
 def tokens_in_blocks(tokens: DataFrame, blocks: DataFrame, key: str, block_id: str, time_col: str = "ts", pos: str = "pos", token: str = "token") -> DataFrame:

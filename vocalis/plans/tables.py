@@ -10,6 +10,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Tables up to one split's size may be a single row group, so a single task.
+SPREAD_BYTES = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small table dealt over all cores; larger tables have splits enough and stay as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+
+
 EPOCH = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz)) / 1e6"
 
 

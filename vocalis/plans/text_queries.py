@@ -10,7 +10,7 @@ from vocalis.operators import corpus as C
 from vocalis.operators import decoding as D
 from vocalis.operators import transcripts as G
 from vocalis.operators.models import compression_ratio
-from vocalis.plans.tables import read
+from vocalis.plans.tables import read, spread
 from vocalis.sources import formats as S
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz'"
@@ -37,7 +37,9 @@ def vocabulary_sql(expr: str, name: str) -> str:
 
 
 def _cleaned(spark, d):
-    return read(spark, d, "documents").select("doc_id", "lang", T.clean_for_vocabulary(F.col("text"), "en", LETTERS).alias("t")).filter(F.length("t") > 9)
+    """Cleaned texts of ten letters and more; one array per row, so that the cleaning is evaluated once and not again in a filter."""
+    docs = spread(read(spark, d, "documents").select("doc_id", "lang", "text"))
+    return docs.select("doc_id", "lang", F.explode(F.filter(F.array(T.clean_for_vocabulary(F.col("text"), "en", LETTERS)), lambda t: F.length(t) > 9)).alias("t"))
 
 
 CLEANED = f"(select doc_id, lang, {vocabulary_sql('text', 'en')} as t from documents where length({vocabulary_sql('text', 'en')}) > 9)"
@@ -50,7 +52,7 @@ QUERIES = {
     "ngram_pruned": lambda s, d: C.prune_ngrams(C.ngram_counts(_cleaned(s, d), F.col("t"))),
     "kneser_ney_arpa": lambda s, d: D.arpa_lines(D.kneser_ney(C.prune_ngrams(C.ngram_counts(_cleaned(s, d), F.col("t"), (1, 2)), "0|3"))),
     "arpa_unigrams": lambda s, d: S.arpa_unigrams(D.arpa_lines(D.kneser_ney(C.prune_ngrams(C.ngram_counts(_cleaned(s, d), F.col("t"), (1, 2)), "0|3"))).select(F.lit("lm").alias("file"), (F.col("section") * 10 + F.col("part")).alias("lineno"), "line")),
-    "char_vocab": lambda s, d: C.char_vocabulary(read(s, d, "documents"), F.lower("text")),
+    "char_vocab": lambda s, d: C.char_vocabulary(spread(read(s, d, "documents").select("text")), F.lower("text")),
     "label_ids": lambda s, d: read(s, d, "benchmark").select("item_id", D.label_ids(T.clean_for_vocabulary(F.col("text"), "en", LETTERS), {c: i + 5 for i, c in enumerate(LETTERS)} | {"|": 4}, 3).alias("ids")).select("item_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids")),
     "punctcap_labels": lambda s, d: C.punctuation_labels(read(s, d, "conversations"), "text", ["conv_id", "turn"]),
     "punctcap_batches": lambda s, d: C.batch_words(C.punctuation_labels(read(s, d, "conversations"), "text", ["conv_id", "turn"]).withColumn("p", F.col("turn") * 1000000 + F.col("pos")), "conv_id", "p", 64),
@@ -120,7 +122,7 @@ ORACLE = {
     "punctcap_labels": f"select conv_id, turn, pos, original, lower(w) as word, (case when substr(original,length(original),1) in (',','.','?') then substr(original,length(original),1) else 'O' end) || (case when regexp_matches(w,'^\\p{{Lu}}') then 'U' else 'O' end) as label from (select conv_id, turn, original, cast(i-1 as integer) as pos, translate(original, {quote(T.ASCII_PUNCTUATION.replace(chr(39), '').replace(chr(92), ''))}, '') as w from (select conv_id, turn, unnest(ws) as original, generate_subscripts(ws,1) as i from (select conv_id, turn, list_filter(regexp_split_to_array(text,'{SQL_SPACES}'), lambda x: x <> '') as ws from conversations))) where w <> ''",
 }
 for _n in T.cleaner_names():
-    QUERIES[f"clean_{_n}"] = lambda s, d, n=_n: read(s, d, "documents").select("doc_id", T.cleaner(n)(F.col("text")).alias("text"))
+    QUERIES[f"clean_{_n}"] = lambda s, d, n=_n: spread(read(s, d, "documents").select("doc_id", "text")).select("doc_id", T.cleaner(n)(F.col("text")).alias("text"))
     ORACLE[f"clean_{_n}"] = f"select doc_id, {clean_sql('text', _n)} as text from documents"
 _NGRAMS = f"(select n as ngram_order, array_to_string(list_slice(t,i,i+n-1),' ') as gram from (select string_split(t,' ') as t from {CLEANED}), generate_series(1,3) a(n), lateral (select unnest(generate_series(1,len(t)-n+1)) as i))"
 ORACLE["ngram_counts"] = f"select cast(ngram_order as integer) as ngram_order, gram, count(*) as n from {_NGRAMS} group by ngram_order, gram"
