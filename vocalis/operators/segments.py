@@ -122,6 +122,7 @@ def transfer_labels(segments: DataFrame, labels: DataFrame, keys: list[str], tie
     """Give each segment the label of the first labelled span that ends after its start, if it lies inside or overlaps enough.
 
     After the last span's end the last span stays the candidate; a segment without duration has no share.
+    A key without labelled spans has only outside segments.
     The first span that ends after a start is where the running maximum of the ends first exceeds it. So
     segments and spans are put in one order and swept once, backwards: one exchange and no range join.
     """
@@ -135,7 +136,7 @@ def transfer_labels(segments: DataFrame, labels: DataFrame, keys: list[str], tie
     c, start, end = F.coalesce("hit", "last"), F.col("row.start"), F.col("row.end")
     inside = (start >= c["l_start"]) & (end <= c["l_end"])
     share_of = F.try_divide(F.least(end, c["l_end"]) - F.greatest(start, c["l_start"]), end - start)
-    return found.filter("kind = 1").select("row.*", F.when(inside | (share_of >= share), c["l_label"]).otherwise(F.lit(outside)).alias("new_label"))
+    return found.filter("kind = 1").select("row.*", F.when(c.isNotNull() & (inside | (share_of >= share)), c["l_label"]).otherwise(F.lit(outside)).alias("new_label"))
 
 
 def tokens_in_blocks(tokens: DataFrame, blocks: DataFrame, key: str, block_id: str, time_col: str = "ts", pos: str = "pos", token: str = "token") -> DataFrame:
