@@ -125,6 +125,8 @@ def test_toxicity_edges(spark, odd):
     assert len(got) == len(ODD) + 2 and all(r.score == 0 for r in got)
     model = toxicity.train(["you idiot fool"] * 20 + ["kind words here"] * 20, [1] * 20 + [0] * 20, [1.0] * 40, toxicity.ToxicityParams(min_z=1))
     assert model.score("such an idiiot") > model.score("such kindly words")
+    long = "kindidiot" * 5000
+    assert model.word(long) == pytest.approx(float(model.weight[toxicity.ngram_ids(long, model.params)].mean(dtype="f8")))
 
 
 def test_html():

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+#: Letters of a word whose n-grams are held at once.
+STRETCH = 20_000
 
 
 @dataclass(frozen=True)
@@ -62,8 +64,17 @@ class ToxicityModel:
         self.known: dict[str, float] = {}
 
     def word(self, w: str) -> float:
-        ids = ngram_ids(w[:200], self.params)
-        return float(self.weight[ids].mean())
+        """Mean weight of a word's n-grams; a long word's are summed a stretch at a time."""
+        p = self.params
+        if len(w) <= STRETCH:
+            return float(self.weight[ngram_ids(w, p)].mean())
+        full = f"<{w}>"
+        total, n = float(self.weight[crc32(full.encode()) % p.buckets]), 1
+        for at in range(0, len(full), STRETCH):
+            ids = [crc32(full[i : i + k].encode()) % p.buckets for k in range(p.shortest, p.longest + 1) for i in range(at, min(at + STRETCH, len(full) - k + 1))]
+            total += float(self.weight[ids].sum()) if ids else 0.0
+            n += len(ids)
+        return total / n
 
     def score(self, text: str | None) -> float:
         if self.weight is None:
@@ -94,7 +105,7 @@ def _design(texts: list[str], y: np.ndarray, p: ToxicityParams) -> tuple[np.ndar
             for w in WORD.findall((t or "").lower()):
                 if w not in vocab:
                     vocab[w] = len(vocab)
-                    grams.extend(ngram_ids(w[:200], p))
+                    grams.extend(ngram_ids(w, p))
                     ends.append(len(grams))
                 doc.append(i)
                 word.append(vocab[w])
