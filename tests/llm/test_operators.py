@@ -295,6 +295,33 @@ def test_repeated_passages(spark):
     assert got[501].kept_text is None and got[None].kept_text == docs[-1][1] and len(got) == len(docs)
 
 
+def test_exact_repeats_within_edited_copies(spark):
+    """Every run of 51 words that a smaller document has is covered, however much the rest was edited."""
+    rng, vocab, docs = random.Random(5), [f"w{i}" for i in range(5000)], []
+    for _ in range(25):
+        base = [rng.choice(vocab) for _ in range(rng.randrange(200, 900))]
+        for copy in range(3):
+            w = list(base)
+            at = rng.randrange(len(w) - 120)
+            for i in range(len(w)):
+                if copy and not at <= i < at + 90 and rng.random() < 0.15:
+                    w[i] = rng.choice(vocab)
+            docs.append((len(docs), " ".join(w)))
+    got = {r.doc_id: r.repeated for r in substring.near_duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    seen: set = set()
+    want = met = 0
+    for i, t in docs:
+        w, need = t.split(), set()
+        runs = [tuple(w[p : p + 51]) for p in range(len(w) - 50)]
+        for p, r in enumerate(runs):
+            if r in seen:
+                need.update(range(p, p + 51))
+        seen.update(runs)
+        want += len(need)
+        met += len(need & {x for s in got[i] for x in range(s.start, s.end)})
+    assert want > 2000 and met >= 0.99 * want
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
