@@ -45,8 +45,9 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     width = min(k, n)
     h = np.full(n - width + 1, width, np.uint64)
     for i in range(width):
-        h = mix(h * _ODD + words[i : n - width + 1 + i])
-    return h
+        h *= _ODD
+        h += words[i : n - width + 1 + i]
+    return mix(h)
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
