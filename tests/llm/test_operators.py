@@ -333,3 +333,19 @@ def test_pipeline(spark, tmp_path):
         assert i == 3 or kept.columns == docs.columns
         docs = kept
     assert docs.count() > 0
+
+
+def test_passages_whose_phrases_stand_in_smaller_documents(spark):
+    """Stock phrases in small documents, and a passage at a later place of its first document, hide no repeat."""
+    rng, vocab = random.Random(8), [f"w{i}" for i in range(20000)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    passage, docs = some(60), []
+    for i in range(40):
+        w = some(20)
+        for k in range(56):
+            w += [*passage[k : k + 5], *some(15)]
+        docs.append((i, " ".join(w)))
+    docs += [(100, " ".join([*some(200), *passage, *some(100)])), (101, " ".join([*some(90), *passage, *some(70)]))]
+    got = {r.doc_id: [(s.start, s.end) for s in r.repeated] for r in substring.near_duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got.pop(101) == [(90, 150)]
+    assert not any(got.values())
