@@ -349,3 +349,22 @@ def test_passages_whose_phrases_stand_in_smaller_documents(spark):
     got = {r.doc_id: [(s.start, s.end) for s in r.repeated] for r in substring.near_duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got.pop(101) == [(90, 150)]
     assert not any(got.values())
+
+
+def test_near_passages_of_least_likeness(spark):
+    """Every pair of planted passages whose shingle sets are just alike by brute force is found."""
+    rng, vocab = random.Random(11), [f"w{i}" for i in range(20000)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    docs, where = [], {}
+    for i in range(600):
+        p = some(52)
+        q = list(p)
+        q[rng.randrange(20, 32)] = "zzz"
+        a, b = (set(shingle_set(" ".join(x), 5).tolist()) for x in (p, q))
+        assert 0.8 <= len(a & b) / len(a | b) < 0.82
+        before = some(rng.randrange(20, 200))
+        where[1000 + i] = len(before)
+        docs += [(i, " ".join([*some(rng.randrange(20, 200)), *p, *some(60)])), (1000 + i, " ".join([*before, *q, *some(60)]))]
+    got = {r.doc_id: [(s.start, s.end) for s in r.repeated] for r in substring.near_duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum((at, at + 52) in got[i] for i, at in where.items()) >= 598
+    assert not any(got[i] for i in range(600))
