@@ -368,3 +368,28 @@ def test_near_passages_of_least_likeness(spark):
     got = {r.doc_id: [(s.start, s.end) for s in r.repeated] for r in substring.near_duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert sum((at, at + 52) in got[i] for i, at in where.items()) >= 598
     assert not any(got[i] for i in range(600))
+
+
+def test_licences_of_a_bundle():
+    """Each template that stands in a text in full is found, whatever else the text has."""
+    index = licenses.LicenceIndex({}, 0)
+    whole = [t for _, t, _ in licenses.TEMPLATES]
+    _, scores = index.scan(licenses.words_of(" xx ".join(whole)))
+    assert scores == {label: 1.0 for label, _, _ in licenses.TEMPLATES}
+    # brute force over all places, with two fifths of the words changed and the changed words elsewhere
+    rng = random.Random(4)
+    for _ in range(300):
+        words = []
+        for t in rng.sample(whole, 5):
+            seq = t.split()
+            gone = rng.sample(range(len(seq)), rng.randrange(0, len(seq) * 2 // 5 + 1))
+            words += [f"x{i}" if i in gone else w for i, w in enumerate(seq)] + rng.sample(seq, len(seq))
+        want: dict = {}
+        for label, seq, keys in index.templates:
+            for start in range(1 - len(seq), len(words)):
+                hit = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(seq)) / len(seq)
+                found = words[max(0, start) : start + len(seq)]
+                if hit >= 0.6 and all(any(found[i : i + len(k)] == k for i in range(len(found))) for k in keys):
+                    want[label] = max(want.get(label, 0), hit)
+        places, scores = index.scan(words)
+        assert scores == {**want, **{label: 1.0 for _, label in places}}

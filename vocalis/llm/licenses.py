@@ -1,11 +1,11 @@
 """Licence scans with a positional index of rare words (operator 4).
 
 Licence templates are word sequences. The words of all templates get an inverse document frequency
-over the whole corpus. For each file the licence words of highest IDF that it has are looked up in
-the templates' postings (template, position); an occurrence at place p of a word with position q
-votes for the template to begin at p - q. Where the votes of a relative position reach a share of
-the template, its mandatory key phrases are verified there word by word, and the template's label
-is given. Three base phrases are found wherever their words stand consecutively; they are looked up
+over the whole corpus. Each template has postings (template, position) of its positions of highest
+IDF, so many that a place with the asked share of the template's words has two of them at least; an
+occurrence at place p of a word with position q votes for the template to begin at p - q. Where the
+words at a relative position with two votes reach a share of the template, its mandatory key phrases
+are verified there word by word, and the template's label is given. Three base phrases are found wherever their words stand consecutively; they are looked up
 by their rarest word and verified in full, whatever the IDF.
 
 Null and empty texts have 0 words, no places and empty labels. Repeated rows give repeated results; a table
@@ -55,16 +55,19 @@ def words_of(text: str | None) -> list[str]:
 class LicenceIndex:
     """Postings of the templates' words, and the IDF that orders them."""
 
-    def __init__(self, counts: dict[str, int], total: int, rare: int = 12, share: float = 0.6):
-        self.share, self.rare = share, rare
+    def __init__(self, counts: dict[str, int], total: int, share: float = 0.6):
+        self.share = share
         self.templates = [(label, t.split(), [k.split() for k in keys]) for label, t, keys in TEMPLATES]
         self.base = [(p.split(), label) for p, label in BASE.items()]
         self.vocab = frozenset(w for _, t, _ in self.templates for w in t) | {w for p, _ in self.base for w in p}
         self.idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) for w in self.vocab}
         self.postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for t, (_, seq, _) in enumerate(self.templates):
-            for q, w in enumerate(seq):
-                self.postings[w].append((t, q))
+            # all but ``need`` words may differ at a place, so two of the rarest positions are met there whatever else the file has
+            need = next(h for h in range(len(seq) + 1) if h / len(seq) >= share)
+            rare = sorted(range(len(seq)), key=lambda q, seq=seq: (-self.idf[seq[q]], q))[: len(seq) - need + 2]
+            for q in sorted(rare):
+                self.postings[seq[q]].append((t, q))
         self.anchors = [max(range(len(p)), key=lambda i, p=p: (self.idf[p[i]], -i)) for p, _ in self.base]
 
     def scan(self, words: list[str]) -> tuple[list[tuple[int, str]], dict[str, float]]:
@@ -83,11 +86,10 @@ class LicenceIndex:
                 if p >= k and words[p - k : p - k + len(phrase)] == phrase:
                     places.append((p - k, label))
                     scores[label] = 1.0
-        looked_up = sorted(present, key=lambda w: (-self.idf[w], w))[: self.rare]
         votes: Counter = Counter()
-        for w in looked_up:
-            for p in at[w]:
-                for t, q in self.postings[w]:
+        for w, places_of in at.items():
+            for t, q in self.postings.get(w, ()):
+                for p in places_of:
                     votes[t, p - q] += 1
         for (t, start), n in votes.items():
             label, seq, keys = self.templates[t]
