@@ -393,3 +393,13 @@ def test_licences_of_a_bundle():
                     want[label] = max(want.get(label, 0), hit)
         places, scores = index.scan(words)
         assert scores == {**want, **{label: 1.0 for _, label in places}}
+
+
+def test_html_of_pages_whose_frame_looks_like_furniture():
+    body = "<nav><a href=x>Home</a></nav><article><h1><a href=y>A title</a></h1><p>Some text of it.</p><p><a href=z>One link</a></p></article><footer>foot</footer>"
+    want = "A title\nSome text of it.\nOne link"
+    for frame in ('<html class="cookie-consent"><body class="single has-sidebar">{}', '<main class="widget-area">{}</main>', '<body><form id="search">{}</form>'):
+        assert html.main_text(frame.format(body)) == want
+    assert html.main_text(body.replace("<article>", '<article class="has-sidebar">').replace("<p>Some", '<article class="comment"><p>A reader</p></article><p>Some')) == want
+    assert html.main_text("<body><form><div>" + "long text here " * 10 + "</div><p>Short end.</p></form>").endswith("Short end.")
+    assert html.main_text("<main hidden>" + body + "</main>") == ""

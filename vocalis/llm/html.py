@@ -1,8 +1,9 @@
 """Main text of HTML pages by the distribution of line blocks (operator 3).
 
 Markup is stripped into lines, one for each block element. Lines inside page furniture (menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments) and lines made of links have
-length 0. Over windows of ``span`` lines the lengths are summed; where the sum surges above
+headers, footers, sidebars, notices, adverts, forms, reader comments) and, outside a marked article,
+lines made of links have length 0. The page itself and its outermost article are no furniture
+whatever their classes say, nor is a form that holds the article or all text of the page. Over windows of ``span`` lines the lengths are summed; where the sum surges above
 ``surge`` a region begins, where it dives to 0 the region ends, and the text between is kept. Where
 a page marks an article, only its lines have a length. A page whose sums nowhere surge keeps all
 its lines that have a length.
@@ -37,14 +38,18 @@ NOISE = frozenset(
     "related recommended recommendations newsletter subscribe subscription signup login search pagination pager widget widgets rail".split()
 )
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+ARTICLE = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
+FORM_END = re.compile(r"</form(?=[\s/>])", re.I)
 CLOSES_P = BLOCK - {"br", "option"}
 
 
-def _noisy(tag: str) -> bool:
+def _noisy(tag: str, by_words: bool = True) -> bool:
     for name, value in ATTRIBUTE.findall(tag):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             return True
+        if not by_words:
+            continue
         if name == "role":
             if value.lower() in ROLES:
                 return True
@@ -53,8 +58,14 @@ def _noisy(tag: str) -> bool:
     return False
 
 
-def lines_of(html: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
-    """Lines as (text, characters in links, in furniture, in an article); whether the page marks an article."""
+def _holds_article(html: str, at: int) -> bool:
+    """Whether an article begins before the form that begins at ``at`` ends."""
+    end = FORM_END.search(html, at)
+    return bool(ARTICLE.search(html, at, end.start() if end else len(html)))
+
+
+def lines_of(html: str, forms: bool = True) -> tuple[list[tuple[str, int, bool, bool]], bool]:
+    """Lines as (text, characters in links, in furniture, in an article); whether the page marks an article. Without ``forms`` no form is furniture."""
     out: list[tuple[str, int, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # element, furniture, article
     parts: list[str] = []
@@ -126,7 +137,13 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
                 continue
             links[0] += 1
         inside = article > 0
-        bad = name in FURNITURE or (name == "header" and not inside) or _noisy(tag)
+        if name in ("html", "body"):
+            bad = False
+        elif name == "form" and (not forms or _holds_article(html, at)):
+            bad = _noisy(tag, by_words=False)
+        else:
+            outermost = name == "main" or (name == "article" and all(e[0] != "article" for e in stack))
+            bad = name in FURNITURE or (name == "header" and not inside) or _noisy(tag, by_words=not outermost)
         main = not noise and not bad and (name in ("article", "main") or 'role="main"' in tag.lower())
         marked |= main
         noise += bad
@@ -136,14 +153,22 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
     return out, marked
 
 
-def main_text(html: str | None, span: int = 3, surge: int = 40, link_share: float = 0.6) -> str:
-    """The main text, one line for each block."""
-    lines, marked = lines_of(html or "")
+def _sizes(lines: list[tuple[str, int, bool, bool]], marked: bool, link_share: float) -> list[int]:
     sizes = []
     for text, linked, noisy, inside in lines:
         plain = len(text) - text.count(" ")
-        drop = noisy or (marked and not inside) or (linked and linked >= link_share * plain and not (marked and inside and linked < plain))
+        drop = noisy or (not inside if marked else bool(linked) and linked >= link_share * plain)
         sizes.append(0 if drop else len(text))
+    return sizes
+
+
+def main_text(html: str | None, span: int = 3, surge: int = 40, link_share: float = 0.6) -> str:
+    """The main text, one line for each block."""
+    lines, marked = lines_of(html or "")
+    sizes = _sizes(lines, marked, link_share)
+    if not any(sizes):
+        lines, marked = lines_of(html or "", forms=False)
+        sizes = _sizes(lines, marked, link_share)
     n = len(lines)
     sums = [sum(sizes[i : i + span]) for i in range(n)]
     keep, at = [False] * n, 0
