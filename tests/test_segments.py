@@ -1,6 +1,6 @@
 """Segment operators on small cases."""
 
-from vocalis.operators.segments import transfer_labels
+from vocalis.operators.segments import merge_short, transfer_labels
 
 
 def test_transfer_labels_cases(spark):
@@ -10,3 +10,31 @@ def test_transfer_labels_cases(spark):
     got = {r["t"]: r["new_label"] for r in transfer_labels(segments, labels, ["k"], "t", "t").collect()}
     # an end equal to a start is not behind it; without duration only a segment that lies inside gets a label
     assert got == {1: "a", 2: "OUTSIDE", 3: "OUTSIDE", 4: "c", 5: "OUTSIDE", 6: "OUTSIDE"}
+
+
+def test_merge_short_equals_a_fold_however_large_the_key(spark):
+    import random
+
+    rng, rows = random.Random(2), []
+    for key, n in (("a", 60_000), ("b", 1), ("c", 40), (None, 7), ("d", 2)):
+        at = 0.0
+        for i in range(n):
+            rows.append((key, i, at, at + rng.random()))
+            at += 1 + rng.random()
+    want = []
+    for key in {r[0] for r in rows}:
+        done, left = [], None
+        for _, _, start, end in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+            left = (left[0] if left else start, end)
+            if left[1] - left[0] > 1.5:
+                done.append(left)
+                left = None
+        if left and done and left[1] - left[0] < 1.5:
+            done[-1] = (done[-1][0], left[1])
+        elif left:
+            done.append(left)
+        want += [(key, *s) for s in done]
+    shuffled = rng.sample(rows, len(rows))
+    df = merge_short(spark.createDataFrame(shuffled, "k string, t int, start double, end double"), ["k"], "t")
+    assert "collect_list" not in df._jdf.queryExecution().toString()
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)

@@ -6,6 +6,9 @@ tie-breaking column makes the order of a key's segments definite. All comparison
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,24 +74,45 @@ def expand_and_merge_labels(df: DataFrame, keys: list[str], tie: str, min_gap: f
 def merge_short(df: DataFrame, keys: list[str], tie: str, min_dur: float = 1.5) -> DataFrame:
     """Gather segments until more than ``min_dur`` is reached; what is left and shorter joins the one before.
 
-    A greedy fold over a key's ordered segments, so a key's segments meet in one row.
+    A greedy fold over a key's segments in order. A partition is read in order and only the open segment and
+    the last one done are held, so a key may be of any size; its segments meet in one task.
     """
-    seg = "struct<start:double,end:double>"
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col("start"), F.col(tie).alias("tie"), F.col("end")))), lambda x: F.struct(x["start"].cast("double").alias("start"), x["end"].cast("double").alias("end")))
-    zero = F.struct(F.array().cast(f"array<{seg}>").alias("done"), F.lit(None).cast(seg).alias("open"))
-
-    def step(acc: Column, x: Column) -> Column:
-        now = F.struct(F.coalesce(acc["open"]["start"], x["start"]).alias("start"), x["end"].alias("end"))
-        full = now["end"] - now["start"] > min_dur
-        return F.struct(F.when(full, F.concat(acc["done"], F.array(now))).otherwise(acc["done"]).alias("done"), F.when(full, F.lit(None).cast(seg)).otherwise(now).alias("open"))
-
-    def finish(acc: Column) -> Column:
-        n, o = F.size(acc["done"]), acc["open"]
-        joined = F.concat(F.slice(acc["done"], 1, F.greatest(n - 1, F.lit(0))), F.array(F.struct(F.get(acc["done"], n - 1)["start"].alias("start"), o["end"].alias("end"))))
-        return F.when(o.isNull(), acc["done"]).when((o["end"] - o["start"] < min_dur) & (n > 0), joined).otherwise(F.concat(acc["done"], F.array(o)))
-
-    folded = df.groupBy(*keys).agg(ordered.alias("segs")).select(*keys, F.aggregate("segs", zero, step, finish).alias("segs"))
-    return folded.select(*keys, F.explode("segs").alias("s")).select(*keys, "s.start", "s.end")
+    rows = df.select(*keys, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.col(tie).alias("_tie"))
+    order = [*keys, F.asc_nulls_last("start"), F.asc_nulls_last("_tie"), F.asc_nulls_last("end")]
+    ordered = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*order).drop("_tie")
+    n = len(keys)
+
+    def longer(seg: tuple) -> bool:
+        return None not in seg and seg[1] - seg[0] > min_dur
+
+    def finish(done: tuple | None, left: tuple | None) -> list[tuple]:
+        if done and left and None not in left and left[1] - left[0] < min_dur:
+            return [(done[0], left[1])]
+        return [s for s in (done, left) if s]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = done = left = None
+
+        def table(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(batch.schema)], schema=batch.schema)
+
+        for batch in batches:
+            out: list[tuple] = []
+            for *k, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    out += [(*key, *s) for s in finish(done, left)] if key is not None else []
+                    key, done, left = k, None, None
+                now = (start if left is None or left[0] is None else left[0], end)
+                if longer(now):
+                    out += [(*key, *done)] if done else []
+                    done, left = now, None
+                else:
+                    left = now
+            yield table(out)
+        if key is not None:
+            yield table([(*key, *s) for s in finish(done, left)])
+
+    return ordered.mapInArrow(run, ordered.schema)
 
 
 def letters_to_segments(df: DataFrame, keys: list[str], time_col: str, min_dur: float = 1.5, max_gap: float = 0.2, by: float = 0.1) -> DataFrame:
