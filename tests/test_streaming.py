@@ -1,5 +1,6 @@
 """Stateful rules by hand and against their batch forms."""
 
+import math
 import random
 
 import pytest
@@ -80,3 +81,31 @@ def test_align():
 def test_beam_search_prefers_the_best_path():
     logp = [[-5.0, -0.1, -5.0], [-0.1, -5.0, -5.0], [-5.0, -5.0, -0.1]]
     assert beam_search(logp, ["_", "a", "b"], 0, 8, None, 1.0, 0.0)[0][0] == "ab"
+
+
+def test_beam_search_equals_all_paths():
+    import itertools
+    import random
+
+    rng, vocab = random.Random(6), ["_", "a", "b", " "]
+    logp = []
+    for _ in range(6):
+        p = [rng.random() for _ in vocab]
+        logp.append([math.log(x / sum(p)) for x in p])
+    want: dict[str, float] = {}
+    for path in itertools.product(range(4), repeat=6):
+        text = "".join(vocab[i] for k, i in enumerate(path) if i and (k == 0 or path[k - 1] != i))
+        want[text] = want.get(text, 0.0) + math.exp(sum(logp[k][i] for k, i in enumerate(path)))
+    got = dict(beam_search(logp, vocab, 0, 100_000, None, 1.0, 0.0))
+    assert got.keys() == want.keys() and all(abs(math.exp(got[t]) - p) < 1e-9 for t, p in want.items())
+
+
+def test_ctc_beams_decodes_whole_messages(spark):
+    from vocalis.plans import registry, signal_queries
+
+    got = [r for r in registry.queries()["ctc_beams"](spark, "/root/testdata/sf0.001").collect() if r.msg == 0]
+    frames = [r.x for r in sorted(signal_queries._frames(spark, "/root/testdata/sf0.001").filter("msg = 0").collect(), key=lambda r: r.frame)]
+    assert len(frames) == 20 and len(frames[0]) == len(signal_queries.VOCAB) == 64
+    logp = [[x - math.log(sum(math.exp(y) for y in f)) for x in f] for f in frames]
+    want = beam_search(logp, [" " if v == "|" else v for v in signal_queries.VOCAB], 0, 100, None, 1.0, 0.5)[:3]
+    assert [(r.text, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(t, round(s, 6)) for t, s in want]
