@@ -72,7 +72,7 @@ QUERIES = {
     "ctc_beams": lambda s, d: _frames(s, d).groupBy("msg").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "x"))), lambda f: f["x"]).alias("f")).select("msg", F.posexplode(D.ctc_beams(VOCAB, width=100)("f")).alias("rank", "b")).select("msg", "rank", "b.text", F.round("b.score", 6).alias("score")),
     "interp_timestamps": lambda s, d: read(s, d, "conversations").select("conv_id", "turn", F.posexplode(R.interpolate_rounded(F.col("turn").cast("double"), (F.col("turn") + 1).cast("double"), F.lit(9))).alias("k", "t")),
     "interp_middle": lambda s, d: read(s, d, "conversations").select("conv_id", "turn", F.posexplode(R.interpolate(F.col("turn").cast("double"), (F.col("turn") + 2).cast("double"), (F.col("turn") % 3 + 1).cast("int"))).alias("k", "t")),
-    "charwise_idx": lambda s, d: read(s, d, "benchmark").select("item_id", F.posexplode(R.character_frames(F.array(F.struct(F.substring("text", 1, 7).alias("word"), F.lit(0).alias("start"), F.lit(17).alias("end"))))).alias("k", "frame")),
+    "charwise_idx": lambda s, d: read(s, d, "benchmark").select("item_id", F.posexplode(R.character_frames(F.array(F.struct(F.col("text").alias("word"), F.lit(0).alias("start"), F.round(F.length("text") * 17 / 7).cast("int").alias("end"))))).alias("k", "frame")),
     "vad_ring": lambda s, d: K.ring_mean(_scores(s, d), U, E, "p", 5).select("event_id", F.round("smooth", 9).alias("smooth")),
     "vad_segments": lambda s, d: K.voiced_segments(_scores(s, d), U, E, "p", 0.4, 0.1),
     "clf_report": lambda s, d: M.classification_report(read(s, d, "labels"), "quality", "toxic").select("label", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support"),

@@ -72,14 +72,14 @@ QUERIES = {
     "unlabelled": lambda s, d: read(s, d, "documents").select("doc_id", "lang").join(read(s, d, "labels"), "doc_id", "left_anti"),
     "cer_by_lang": lambda s, d: A.cer(_cleaned(s, d).select("lang", F.substring("t", 1, 200).alias("r"), F.translate(F.substring("t", 1, 200), "aeiou", "eiou").alias("h")), "r", "h", ["lang"]),
     "wer_by_lang": lambda s, d: A.error_rates(_cleaned(s, d).select("lang", F.substring("t", 1, 200).alias("r"), F.regexp_replace(F.substring("t", 1, 200), " the ", " a ").alias("h")), A.word_edits(F.col("r"), F.col("h")), ["lang"]),
-    "sw_align": lambda s, d: read(s, d, "benchmark").select("item_id", A.align_characters(F.substring("text", 1, 120), F.translate(F.substring("text", 11, 60), "aeiou", "eiou")).alias("a")).select("item_id", "a.score", A.edit_symbols(F.col("a.pairs")).alias("edits")),
-    "aligned_ngrams": lambda s, d: read(s, d, "benchmark").select(A.align_characters(F.substring("text", 1, 60), F.translate(F.substring("text", 1, 60), "aeiou", "eiou")).alias("a")).select(F.explode(A.aligned_ngrams(F.col("a.pairs"), 3)).alias("g")).groupBy("g.ref", "g.hyp").count(),
-    "error_words": lambda s, d: read(s, d, "benchmark").select("item_id", F.explode(A.error_words(F.substring("text", 1, 120), F.translate(F.substring("text", 1, 120), "aeiou", "eiou"))).alias("w")).select("item_id", "w.ref", "w.hyp"),
-    "aligned_lines": lambda s, d: read(s, d, "benchmark").select("item_id", F.posexplode(A.align_lines(F.substring("text", 1, 120), F.translate(F.substring("text", 1, 120), "aeiou", "eiou"), F.lit(40))).alias("line", "w")).select("item_id", "line", "w.ref", "w.hyp"),
-    "matching_blocks": lambda s, d: read(s, d, "benchmark").select("item_id", F.posexplode(A.matching_blocks(F.substring("text", 1, 80), F.substring("text", 21, 80))).alias("k", "m")).select("item_id", "k", "m.a", "m.b", "m.size"),
+    "sw_align": lambda s, d: read(s, d, "benchmark").select("item_id", A.align_characters(F.col("text"), F.translate(F.expr("substring(text, 11)"), "aeiou", "eiou")).alias("a")).select("item_id", "a.score", A.edit_symbols(F.col("a.pairs")).alias("edits")),
+    "aligned_ngrams": lambda s, d: read(s, d, "benchmark").select(A.align_characters(F.col("text"), F.translate("text", "aeiou", "eiou")).alias("a")).select(F.explode(A.aligned_ngrams(F.col("a.pairs"), 3)).alias("g")).groupBy("g.ref", "g.hyp").count(),
+    "error_words": lambda s, d: read(s, d, "benchmark").select("item_id", F.explode(A.error_words(F.col("text"), F.translate("text", "aeiou", "eiou"))).alias("w")).select("item_id", "w.ref", "w.hyp"),
+    "aligned_lines": lambda s, d: read(s, d, "benchmark").select("item_id", F.posexplode(A.align_lines(F.col("text"), F.translate("text", "aeiou", "eiou"), F.lit(40))).alias("line", "w")).select("item_id", "line", "w.ref", "w.hyp"),
+    "matching_blocks": lambda s, d: read(s, d, "benchmark").select("item_id", F.posexplode(A.matching_blocks(F.col("text"), F.expr("substring(text, 21)"))).alias("k", "m")).select("item_id", "k", "m.a", "m.b", "m.size"),
     "accumulate": lambda s, d: G.accumulate_suffixes(_letters(s, d), ["conv_id"], "turn", "ts"),
     "glue_transcripts": lambda s, d: _glued(s, d),
-    "overwrite_fold": lambda s, d: read(s, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.struct(F.substring(x["text"], 1, 20).alias("append"), F.lit(None).cast("string").alias("remove"))).alias("p")).select("conv_id", G.fold_overwrites(F.col("p")).alias("text")),
+    "overwrite_fold": lambda s, d: read(s, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.struct(x["text"].alias("append"), F.lit(None).cast("string").alias("remove"))).alias("p")).select("conv_id", G.fold_overwrites(F.col("p")).alias("text")),
     "compression_ratio": lambda s, d: read(s, d, "documents").select("doc_id", compression_ratio("text").alias("ratio")).filter("ratio > 2.0"),
     "sox_commands": lambda s, d: read(s, d, "pages").select("page_id", T.sox_command(F.col("url"), F.lit("out.wav"), F.lit(-3.0), F.lit(100.0), F.lit(7000.0)).alias("cmd")),
     "vocab_except": lambda s, d: read(s, d, "documents").select("lang").distinct().filter(~F.col("lang").isin("en")),
@@ -93,7 +93,7 @@ def _letters(s, d):
 
 
 def _glued(s, d):
-    b = read(s, d, "benchmark").select("item_id", F.substring("text", 1, 80).alias("x"), F.substring("text", 31, 80).alias("y"))
+    b = read(s, d, "benchmark").select("item_id", F.expr("substring(text, 1, greatest(80, length(text) - 30))").alias("x"), F.expr("substring(text, 31)").alias("y"))
     t = lambda c, first: F.transform(F.sequence(F.lit(0), F.greatest(F.length(c) - 1, F.lit(0))), lambda i: (i + first) * 0.1)
     g = G.glue_suffix(F.struct(F.col("x").alias("letters"), t(F.col("x"), 0).alias("times")), F.struct(F.col("y").alias("letters"), t(F.col("y"), 30).alias("times")))
     return b.filter("length(y) > 0").select("item_id", g.alias("g")).select("item_id", F.col("g.letters").alias("suffix"), F.size("g.times").alias("n"))
