@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 WORD = re.compile(rb"[^\x09-\x0d\x20]+")
-_TABLE = 1_000_000
+_TABLE = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -7,17 +7,23 @@ back: the work before it then runs once, and a lost executor cannot take a resul
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The cleaner works in a thread of its own.
+CLEANER_SECONDS = 0.7
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is configured (tests)."""
+    """The shared folder of the session; where none is configured the warehouse, and a temporary folder only where all runs in one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='vocalis-')}"
+        alone = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
+        root = f"file://{tempfile.mkdtemp(prefix='vocalis-')}" if alone else spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("spark.checkpoint.dir", root)
     return root if "://" in root or root.startswith("file:") else f"file://{root}"
 
@@ -46,11 +52,29 @@ class Workspace:
         place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
+    def keep_only(self, *starts: str) -> None:
+        """Delete all tables but those whose names begin so."""
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.listStatus(place):
+            if not status.getPath().getName().startswith(starts):
+                fs.delete(status.getPath(), True)
+
     def release(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of plans that are no longer referenced."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Let Spark's cleaner delete the shuffle files of plans that are no longer referenced, and give it a moment to do so."""
+        for _ in range(2):  # what the first round lets go of may hold more
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(CLEANER_SECONDS)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
