@@ -24,6 +24,7 @@ def connected_components(links: DataFrame, space: Workspace, name: str = "cc", m
     The component is its smallest node. Links of a node with itself and repeated links do no harm.
     """
     edges = space.table(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
+    before = None
     for step in range(1, most + 1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -32,9 +33,7 @@ def connected_components(links: DataFrame, space: Workspace, name: str = "cc", m
         now = space.table(small, f"{name}-{step}")
         # done when every node has one link and none links to a node that has a link itself
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
-        before = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
-        same = state == before
-        edges = now
+        same, before, edges = state == before, state, now
         if step > 1:
             space.drop(f"{name}-{step - 2}") if step > 2 else None
         if same:
