@@ -28,7 +28,7 @@ class ForcedBoundaryBPE:
     def __init__(self, content: str):
         spec = json.loads(content)
         model = spec["model"]
-        self.splitter = Splitter(spec)
+        self.splitter = Splitter(content)
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
         self.ranks = {(a, b): i for i, (a, b) in enumerate(model["merges"])}

@@ -2,7 +2,8 @@
 
 Two layouts of a ``tokenizers`` file are understood: byte-level with its built-in pattern, and
 lower-cased words with an end-of-word suffix. A piece is encoded the same wherever it stands, so
-encoders keep a bounded table of pieces they have met.
+encoders keep a bounded table of pieces they have met. The ``tokenizers`` library may know later letters than
+Python's Unicode tables; texts with characters that Python doesn't know are normalised and split by the library.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 #: Texts whose characters all lie below this are split by short character classes, which are faster.
 LATIN_END = 0x250
 #: Entries of a piece table before it is emptied; bounds a worker's memory.
-TABLE = 600_000
+TABLE = 450_000
 
 
 @cache
@@ -41,6 +42,20 @@ def patterns(end: int) -> tuple[re.Pattern, re.Pattern]:
 _WIDE = re.compile(rf"[^\x00-\u{LATIN_END - 1:04x}]")
 
 
+@cache
+def unassigned() -> re.Pattern:
+    """Characters that Python's Unicode tables don't know."""
+    ranges, start = "", None
+    for c in range(LATIN_END, 0x110001):
+        new = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
+        if new and start is None:
+            start = c
+        elif not new and start is not None:
+            ranges += f"\\U{start:08x}-\\U{c - 1:08x}"
+            start = None
+    return re.compile(f"[{ranges}]")
+
+
 def find(text: str, words: bool) -> list[str]:
     wide = not text.isascii() and _WIDE.search(text)
     return patterns(0x110000 if wide else LATIN_END)[words].findall(text)
@@ -49,7 +64,9 @@ def find(text: str, words: bool) -> list[str]:
 class Splitter:
     """Pieces of a text under the rules of a tokenizer file's JSON."""
 
-    def __init__(self, spec: dict):
+    def __init__(self, content: str):
+        spec = json.loads(content)
+        self._content, self._library = content, None
         pre, norm = spec["pre_tokenizer"], spec["normalizer"]
         if pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and norm is None:
             self.words = False
@@ -69,7 +86,18 @@ class Splitter:
                 return [p for i, part in enumerate(parts) for p in ([part] if i % 2 else self._plain(part))]
         return self._plain(text)
 
+    def _by_library(self, text: str) -> list[str]:
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_str(self._content)
+        if self._library.normalizer is not None:
+            text = self._library.normalizer.normalize_str(text)
+        return [text[a:b] for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(text)]
+
     def _plain(self, text: str) -> list[str]:
+        if not text.isascii() and _WIDE.search(text) and unassigned().search(text):
+            return self._by_library(text)
         if not self.words:
             return find(text, False)
         if not text.isascii():
@@ -100,8 +128,7 @@ class LibraryEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        spec = json.loads(content)
-        self.splitter = Splitter(spec)
+        self.splitter = Splitter(content)
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
