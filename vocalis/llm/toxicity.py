@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+#: Letters and digits, with signs inside that misspellings put for letters.
+WORD = re.compile(r"[^\W_]+(?:['’*@$!_-]+[^\W_]+)*")
 #: Letters of a word whose n-grams are held at once.
 STRETCH = 20_000
 
@@ -83,7 +84,7 @@ class ToxicityModel:
         total = 0.0
         if words:
             known = self.known
-            if len(known) > 400_000:
+            if len(known) > 300_000:
                 known.clear()
             for w in set(words).difference(known):
                 known[w] = self.word(w)
@@ -184,7 +185,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, params: ToxicityParams
     short = documents.select("doc_id", "text").filter(F.length("text") <= p.max_row_chars)
     rows = short.join(F.broadcast(chosen), "doc_id").select("toxic", "text", order.alias("o"))
     picked, chars = [], 0
-    for r in sorted(rows.limit(4 * p.max_rows).toLocalIterator(), key=lambda r: (r["o"], r["text"])):
+    for r in rows.orderBy("o", "text").limit(4 * p.max_rows).collect():
         if chars + len(r["text"]) <= p.max_chars:
             picked.append(r)
             chars += len(r["text"])
@@ -195,9 +196,8 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, params: ToxicityParams
 
 
 def score_toxicity(documents: DataFrame, model: ToxicityModel, out: str = "toxicity", text_col: str = "text") -> DataFrame:
-    """Add a score column to a table; all its columns stay."""
-    if out in documents.columns:
-        raise ValueError(f"the table has a column {out} already; name another")
+    """Add a score column to a table; all its columns stay, but for one of that name."""
+    documents = documents.drop(*(c for c in documents.columns if c.lower() == out.lower()))
     packed = documents.sparkSession.sparkContext.broadcast((model.params, None if model.weight is None else model.weight.tobytes(), model.bias))
     at = documents.columns.index(text_col)
     made: dict[int, ToxicityModel] = {}
