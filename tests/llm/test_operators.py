@@ -403,3 +403,43 @@ def test_html_of_pages_whose_frame_looks_like_furniture():
     assert html.main_text(body.replace("<article>", '<article class="has-sidebar">').replace("<p>Some", '<article class="comment"><p>A reader</p></article><p>Some')) == want
     assert html.main_text("<body><form><div>" + "long text here " * 10 + "</div><p>Short end.</p></form>").endswith("Short end.")
     assert html.main_text("<main hidden>" + body + "</main>") == ""
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_bpe_of_letters_newer_than_pythons_tables(path):
+    import unicodedata
+
+    content = read_tokenizer(path)
+    lib, own, cached = Tokenizer.from_str(content), bpe.ForcedBoundaryBPE(content), LibraryEncoder(content)
+    for c in (0x1C89, 0xA7CB, 0xA7DA, 0x105C2, 0x1E5F0, *range(0x250, 0x32000, 97)):
+        if unicodedata.category(chr(c)) == "Cn":
+            t = f"ab {chr(c)}c{chr(c)} 'S {chr(c)}1"
+            ids = lib.encode(t, add_special_tokens=False).ids
+            assert unsigned(own.encode(t)[0]) == unsigned(cached.encode(t)) == ids
+
+
+def test_passages_of_whole_copies_and_clashing_columns(spark):
+    rng = random.Random(2)
+    text, short = (" ".join(f"w{rng.randrange(900)}" for _ in range(k)) for k in (51, 50))
+    rows = [(1, text), (2, text), (2, "other words"), (3, short), (4, short), (5, f"a {text} b")]
+    df = spark.createDataFrame([(i, t, "c", "r") for i, t in rows], "doc_id long, text string, cand string, repeated string").withColumn("span_doc", __import__("pyspark").sql.functions.lit(7))
+    got = {(r.doc_id, r.text): [(s.start, s.end) for s in r.repeated] for r in substring.near_duplicate_passages(df).collect()}
+    assert got == {(1, text): [], (2, text): [(0, 51)], (2, "other words"): [], (3, short): [], (4, short): [], (5, f"a {text} b"): [(1, 52)]}
+
+
+def test_fragments_leave_linked_pairs_a_common_one():
+    """Pairs that are just alike enough share a signature, whatever their size."""
+    rng = np.random.default_rng(6)
+    for num, den in ((90, 100), (8, 10)):
+        sim = jaccard.Similarity(num, den)
+        for size in (4, 5, 9, 10, 17, 30, 60, 100, 200, 400, 1000, 5000):
+            for _ in range(20):
+                both = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+                total = size
+                while size * den >= num * (total + 1):
+                    total += 1
+                extra = rng.integers(0, 1 << 63, total - size, dtype=np.uint64)
+                cut = rng.integers(0, len(extra) + 1)
+                a, b = (np.unique(np.concatenate([both, x])) for x in (extra[:cut], extra[cut:]))
+                if len(extra):
+                    assert len(np.intersect1d(jaccard.signatures(a, sim), jaccard.signatures(b, sim)))
