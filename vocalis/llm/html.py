@@ -1,20 +1,26 @@
 """Main text of HTML pages by the distribution of line blocks (operator 3).
 
-Markup is stripped into lines, one for each block element. Lines inside page furniture (menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments) and, outside a marked article,
-lines made of links have length 0. The page itself and its outermost article are no furniture
-whatever their classes say, nor is a form that holds the article or all text of the page. Over windows of ``span`` lines the lengths are summed; where the sum surges above
-``surge`` a region begins, where it dives to 0 the region ends, and the text between is kept. Where
-a page marks an article, only its lines have a length. A page whose sums nowhere surge keeps all
-its lines that have a length.
+Markup is stripped into lines, one for each block element, and each line gets a length. Lines inside page
+furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) have length 0. Where a page
+marks an article, markup weighs the lengths: a character inside counts ``INSIDE`` times, one outside a ``OUTSIDE``-th;
+elsewhere characters in links don't count. The page itself and its outermost article are no furniture whatever
+their classes say, nor is a form that holds the article or all text of the page.
+
+The span of the text is found by the sums of lengths over windows of ``span`` lines, by the same thresholds on all
+pages: a region holds a window that surges to ``surge`` and goes on over the windows next to it until their sum
+dives below ``dive``. Its first and last line are those of ``dive / span`` or more, what a line has there on average; lines between them are kept but for
+furniture (and, of pages with an article, lines outside it of length 0). Where no sum surges, all lines that
+have a length are kept.
 
 A null or empty page has an empty text. Repeated pages give repeated rows; a table without rows
-gives none. Columns besides those named are not read.
+gives none. Columns besides those named are not read. Time is linear in the page, however its tags are nested or broken.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -22,21 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*/?>|<(?=/?[a-zA-Z])[^<>]*>?", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>|<(?=/?[a-zA-Z])[^<>]*>?", re.S)
 NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 ATTRIBUTE = re.compile(r"""(?:\s|["'])(id|class|role|aria-label|hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 #: Elements whose content is no text, elements that end a line, elements without content.
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select".split())
+RAW = frozenset("script style noscript template textarea iframe select".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Furniture by element, by role and by the words of ids and classes.
 FURNITURE = frozenset("nav aside footer form button head dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner popup modal overlay cookie cookies consent gdpr notice "
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead toolbar share sharing social comment comments disqus replies respond discussion "
-    "related recommended recommendations newsletter subscribe subscription signup login search pagination pager widget widgets rail".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner popup modal overlay cookie cookies consent gdpr notice "
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead comment comments disqus replies respond "
+    "newsletter subscribe subscription signup login search pagination pager".split()
 )
+#: Weights of characters inside a marked article and, as a divisor, outside it.
+INSIDE, OUTSIDE = 16, 256
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 ARTICLE = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
 FORM_END = re.compile(r"</form(?=[\s/>])", re.I)
@@ -58,43 +66,54 @@ def _noisy(tag: str, by_words: bool = True) -> bool:
     return False
 
 
-def _holds_article(html: str, at: int) -> bool:
-    """Whether an article begins before the form that begins at ``at`` ends."""
-    end = FORM_END.search(html, at)
-    return bool(ARTICLE.search(html, at, end.start() if end else len(html)))
-
-
 def lines_of(html: str, forms: bool = True) -> tuple[list[tuple[str, int, bool, bool]], bool]:
     """Lines as (text, characters in links, in furniture, in an article); whether the page marks an article. Without ``forms`` no form is furniture."""
     out: list[tuple[str, int, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # element, furniture, article
+    blocks: list[int] = []  # places of block elements in the stack
+    open_now: Counter[str] = Counter()
+    articles = [m.start() for m in ARTICLE.finditer(html)]
+    form_ends = [m.start() for m in FORM_END.finditer(html)]
     parts: list[str] = []
-    links = [0, 0]  # open links, characters in them
-    noise = article = 0
+    linked = noise = article = at = 0
     marked = False
-    at = 0
 
     def end_line() -> None:
+        nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         parts.clear()
         if text:
-            out.append((text, links[1], noise > 0, article > 0))
-        links[1] = 0
+            out.append((text, linked, noise > 0, article > 0))
+        linked = 0
 
     def text(piece: str) -> None:
+        nonlocal linked
         if piece:
             parts.append(piece)
-            if links[0]:
-                links[1] += len("".join(unescape(piece).split()))
+            if open_now["a"]:
+                linked += len("".join(unescape(piece).split()))
 
     def pop_to(depth: int) -> None:
         nonlocal noise, article
         while len(stack) > depth:
             name, bad, main = stack.pop()
+            open_now[name] -= 1
             noise -= bad
             article -= main
-            if name == "a":
-                links[0] -= 1
+        while blocks and blocks[-1] >= depth:
+            blocks.pop()
+
+    def close(name: str) -> None:
+        """Close the innermost open element of this name; each element that is passed is closed with it."""
+        depth = len(stack) - 1
+        while stack[depth][0] != name:
+            depth -= 1
+        pop_to(depth)
+
+    def holds_article() -> bool:
+        """Whether an article begins before the form that begins here ends."""
+        ends, begins = bisect_left(form_ends, at), bisect_left(articles, at)
+        return begins < len(articles) and (ends == len(form_ends) or articles[begins] < form_ends[ends])
 
     while True:
         found = TAG.search(html, at)
@@ -110,91 +129,102 @@ def lines_of(html: str, forms: bool = True) -> tuple[list[tuple[str, int, bool,
         closing, name = named[1], named[2].lower()
         if name in RAW and not closing:
             if not tag.endswith("/>"):
-                close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-                at = close.end() if close else len(html)
+                ending = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+                at = ending.end() if ending else len(html)
             continue
         if name in BLOCK:
             end_line()
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    pop_to(depth)
-                    break
+            if open_now[name]:
+                close(name)
             continue
         if name in VOID or tag.endswith("/>"):
             continue
-        if name in CLOSES_P:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == "p":
-                    pop_to(depth)
-                    break
-                if stack[depth][0] in BLOCK:
-                    break
+        if name == "body" and open_now["head"]:
+            close("head")
+        if name in CLOSES_P and blocks and stack[blocks[-1]][0] == "p":
+            pop_to(blocks[-1])
         if name in ("li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
             pop_to(len(stack) - 1)
-        if name == "a":
-            if any(e[0] == "a" for e in stack):
-                continue
-            links[0] += 1
-        inside = article > 0
+        if name == "a" and open_now["a"]:
+            continue
         if name in ("html", "body"):
             bad = False
-        elif name == "form" and (not forms or _holds_article(html, at)):
+        elif name == "form" and (not forms or holds_article()):
             bad = _noisy(tag, by_words=False)
         else:
-            outermost = name == "main" or (name == "article" and all(e[0] != "article" for e in stack))
-            bad = name in FURNITURE or (name == "header" and not inside) or _noisy(tag, by_words=not outermost)
+            outermost = name == "main" or (name == "article" and not open_now["article"])
+            bad = name in FURNITURE or (name == "header" and not article) or _noisy(tag, by_words=not outermost)
         main = not noise and not bad and (name in ("article", "main") or 'role="main"' in tag.lower())
         marked |= main
         noise += bad
         article += main
+        if name in BLOCK:
+            blocks.append(len(stack))
+        open_now[name] += 1
         stack.append((name, bad, main))
     end_line()
     return out, marked
 
 
-def _sizes(lines: list[tuple[str, int, bool, bool]], marked: bool, link_share: float) -> list[int]:
-    sizes = []
+def line_lengths(lines: list[tuple[str, int, bool, bool]], marked: bool) -> list[int]:
+    """The weighted length of each line."""
+    lengths = []
     for text, linked, noisy, inside in lines:
-        plain = len(text) - text.count(" ")
-        drop = noisy or (not inside if marked else bool(linked) and linked >= link_share * plain)
-        sizes.append(0 if drop else len(text))
-    return sizes
-
-
-def main_text(html: str | None, span: int = 3, surge: int = 40, link_share: float = 0.6) -> str:
+        n = len(text)
+        lengths.append(0 if noisy else n * INSIDE if inside else n // OUTSIDE if marked else max(0, n - text.count(" ") - linked))
+    return lengths
+
+
+def main_regions(lengths: list[int], span: int, surge: int, dive: int) -> list[tuple[int, int]]:
+    """Regions of lines, as (first, behind the last), between the points where window sums surge and dive."""
+    n, span = len(lengths), max(1, min(span, len(lengths)))
+    least = dive / span
+    total, sums = sum(lengths[:span]), []
+    for i in range(n - span + 1):
+        sums.append(total)
+        if i + span < n:
+            total += lengths[i + span] - lengths[i]
+    regions, at = [], 0
+    while at < len(sums):
+        begin = at
+        while at < len(sums) and sums[at] >= dive:
+            at += 1
+        if begin < at and max(sums[begin:at]) >= surge:
+            first, last = begin, at + span - 2
+            while first < last and lengths[first] < least:
+                first += 1
+            while last > first and lengths[last] < least:
+                last -= 1
+            regions.append((first, last + 1))
+        at += 1
+    return regions
+
+
+def main_text(html: str | None, span: int = 3, surge: int = 40, dive: int = 10) -> str:
     """The main text, one line for each block."""
     lines, marked = lines_of(html or "")
-    sizes = _sizes(lines, marked, link_share)
-    if not any(sizes):
+    lengths = line_lengths(lines, marked)
+    if not any(lengths):
         lines, marked = lines_of(html or "", forms=False)
-        sizes = _sizes(lines, marked, link_share)
-    n = len(lines)
-    sums = [sum(sizes[i : i + span]) for i in range(n)]
-    keep, at = [False] * n, 0
-    level = 1 if marked else surge
-    while at < n:
-        if sums[at] < level:
-            at += 1
-            continue
-        end = at
-        while end < n and sums[end] > 0:
-            end += 1
-        keep[at:end] = [True] * (end - at)
-        at = end
-    if not any(keep):
-        keep = [True] * n
-    return "\n".join(line[0] for line, k, size in zip(lines, keep, sizes, strict=True) if k and size)
+        lengths = line_lengths(lines, marked)
+    kept = [False] * len(lines)
+    for first, behind in main_regions(lengths, span, surge, dive) if lines else []:
+        for i in range(first, behind):
+            kept[i] = not lines[i][2] and (lengths[i] > 0 or not marked)
+    if not any(kept):
+        kept = [n > 0 for n in lengths]
+    return "\n".join(line[0] for line, keep in zip(lines, kept, strict=True) if keep)
 
 
-def extract_main_text(pages: DataFrame, span: int = 3, surge: int = 40) -> DataFrame:
+def extract_main_text(pages: DataFrame, span: int = 3, surge: int = 40, dive: int = 10) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
     rows = pages.select("page_id", "url", "html")
     kind = rows.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h.as_py(), span, surge) for h in batch.column(2)]
+            texts = [main_text(h.as_py(), span, surge, dive) for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long").select(F.col("page_id"), "url", "text", "n_chars")
