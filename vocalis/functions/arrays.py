@@ -93,3 +93,14 @@ def frame_times(frames: Column, audio_len: Column, logit_len: Column, rate: int,
 
 def weakly_increasing(a: Column) -> Column:
     return F.forall(F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: x <= y), lambda ok: ok)
+
+
+def sized_chunks(a: Column, sizes: Column) -> Column:
+    """Pieces of the given sizes, one behind the other; the last may be short, pieces behind the end are null."""
+    begin = lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda s, x: s + x)
+    return F.transform(sizes, lambda n, i: F.when(begin(i) < F.size(a), F.slice(a, begin(i) + 1, n)))
+
+
+def elements_at(a: Column, places: Column) -> Column:
+    """Elements whose positions, from 0, are listed, in their order."""
+    return F.filter(a, lambda x, i: F.array_contains(places, i))

@@ -160,3 +160,8 @@ def move_path(path: Column, old: str, new: str) -> Column:
 def sox_command(source: Column, target: Column, gain_db: Column, low_hz: Column, high_hz: Column) -> Column:
     """The command line of a gain and a band pass; it is built here, not run."""
     return F.format_string("sox %s %s gain %.2f sinc %.0f-%.0f", source, target, gain_db, low_hz, high_hz)
+
+
+def drop_newlines(c: Column, by: str = "") -> Column:
+    """Line feeds and carriage returns replaced."""
+    return F.regexp_replace(c, "[\\n\\r]", by)

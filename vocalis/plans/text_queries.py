@@ -80,7 +80,7 @@ QUERIES = {
     "accumulate": lambda s, d: G.accumulate_suffixes(_letters(s, d), ["conv_id"], "turn", "ts"),
     "glue_transcripts": lambda s, d: _glued(s, d),
     "overwrite_fold": lambda s, d: read(s, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.struct(x["text"].alias("append"), F.lit(None).cast("string").alias("remove"))).alias("p")).select("conv_id", G.fold_overwrites(F.col("p")).alias("text")),
-    "compression_ratio": lambda s, d: read(s, d, "documents").select("doc_id", compression_ratio("text").alias("ratio")).filter("ratio > 2.0"),
+    "compression_ratio": lambda s, d: read(s, d, "documents").select("doc_id", compression_ratio("text").alias("ratio")).filter("ratio <= 2.0"),
     "sox_commands": lambda s, d: read(s, d, "pages").select("page_id", T.sox_command(F.col("url"), F.lit("out.wav"), F.lit(-3.0), F.lit(100.0), F.lit(7000.0)).alias("cmd")),
     "vocab_except": lambda s, d: read(s, d, "documents").select("lang").distinct().filter(~F.col("lang").isin("en")),
 }

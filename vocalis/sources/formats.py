@@ -32,6 +32,26 @@ def common_voice(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumns({"up_votes": F.col("up_votes").cast("int"), "down_votes": F.col("down_votes").cast("int"), "accents": F.split(F.coalesce("accents", F.lit("")), ","), "id": F.substring_index("path", "/", -1)})
 
 
+def mls_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """``id, transcript`` of the lines of a Multilingual LibriSpeech transcript file."""
+    return read_tsv(spark, path, "id string, transcript string", header=False)
+
+
+def mls_id(member: Column) -> Column:
+    """The id of an audio member of an archive: its name without folders and ``.flac``."""
+    return F.replace(F.substring_index(member, "/", -1), F.lit(".flac"), F.lit(""))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """One column of text as gz files, a line for each row."""
+    lines.write.mode("overwrite").option("compression", "gzip").text(path)
+
+
+def write_json_lines(rows: DataFrame, path: str) -> None:
+    """Rows as gz files of JSON lines."""
+    rows.write.mode("overwrite").option("compression", "gzip").json(path)
+
+
 def parse_rttm(line: Column) -> Column:
     f = F.split(F.trim(line), r"\s+")
     return F.struct(F.get(f, 1).alias("file_id"), F.get(f, 3).cast("double").alias("start"), (F.get(f, 4).cast("double") + F.get(f, 3).cast("double")).alias("end"), F.get(f, 7).alias("label"))
