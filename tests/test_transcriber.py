@@ -7,7 +7,7 @@ import pytest
 
 from vocalis.streaming.chunker import Chunker
 from vocalis.streaming.segmenter import Gluer
-from vocalis.streaming.transcriber import Transcriber, transcribe_batch, transcribe_stream
+from vocalis.streaming.transcriber import Transcriber, ctc_model, transcribe_batch, transcribe_stream
 
 RATE, SAMPLES, HOP = 16000, 393990, 1600
 TEXT = "".join(random.Random(4).choices("abcdefghijklmnopqrstuvwxyz '", k=SAMPLES // HOP + 1))
@@ -58,3 +58,10 @@ def test_stream_and_batch(spark, tmp_path):
     q.awaitTermination(120)
     assert sorted((r.message_id, r.frame_idx, r.letters, r.times) for r in spark.table("transcripts").collect()) == got
     assert transcribe_batch(df.limit(0), load, 10, 120, 40).collect() == []
+
+
+def test_ctc_model():
+    scores = np.eye(4)[[0, 1, 1, 0, 1, 2, 3, 3, 0, 0]]
+    letters, times = ctc_model(lambda samples: scores, ["<pad>", "a", "|", "b"], 10)(np.zeros(100))
+    assert (letters, times) == ("aa b", [1.0, 4.0, 5.0, 6.0])
+    assert ctc_model(lambda samples: np.zeros((0, 4)), ["<pad>", "a", "|", "b"], 10)(np.zeros(0)) == ("", [])

@@ -9,6 +9,7 @@ from vocalis.functions.text import drop_newlines
 from vocalis.operators import subtitles as B
 from vocalis.operators import training as P
 from vocalis.plans.tables import VECTORS_SQL, read, segments, segments_sql, vectors
+from vocalis.streaming.transcriber import ctc_model, transcribe_batch
 
 
 def _timed(s, d, text):
@@ -30,7 +31,21 @@ def _languages(s, d):
     return langs.agg(F.array_sort(F.collect_set("token")).alias("t")).select(F.posexplode("t").alias("id", "token"))
 
 
+def _messages(s, d):
+    """Signals of 64 samples in pieces of 7, and an end."""
+    v = vectors(s, d).select(F.col("vec_id").cast("string").alias("message_id"), "x")
+    pieces = v.select("message_id", F.posexplode(R.fixed_chunks(F.col("x"), 7)).alias("k", "array"))
+    last = v.select("message_id", F.size("x").cast("long").alias("frame_idx"), F.array().cast("array<double>").alias("array"), F.lit(True).alias("end_of_signal"))
+    return pieces.select("message_id", (F.col("k") * 7).cast("long").alias("frame_idx"), "array", F.lit(False).alias("end_of_signal")).unionByName(last)
+
+
+def _letters_of():
+    """A toy model: a frame is four samples and the largest one's place its token."""
+    return ctc_model(lambda x: x[: len(x) // 4 * 4].reshape(-1, 4), ["<pad>", "a", "b", "c"], 8)
+
+
 QUERIES = {
+    "transcribe_messages": lambda s, d: transcribe_batch(_messages(s, d), _letters_of, 8, 20, 8).select("message_id", "frame_idx", "letters", F.size("times").alias("n"), "end_of_message"),
     "timed_tokens": lambda s, d: _timed(s, d, F.col("text")),
     "subtitle_blocks": lambda s, d: B.subtitle_blocks(_placed(s, d, F.col("text")), _placed(s, d, F.reverse("text")), "conv_id"),
     "length_filter": lambda s, d: _examples(s, d).filter(P.length_between(F.col("x"), 20, 60)).select("conv_id", "turn"),

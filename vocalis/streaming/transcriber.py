@@ -20,6 +20,18 @@ COLUMNS = ["message_id", "frame_idx", "letters", "times", "end_of_message"]
 Model = Callable[[np.ndarray], tuple[str, list[float]]]
 
 
+def ctc_model(logits: Callable[[np.ndarray], np.ndarray], vocabulary: list[str], rate: int, blank: int = 0, delimiter: str = "|") -> Model:
+    """A model of samples to frame scores with greedy decoding: runs of a token count once, blanks not at all."""
+
+    def model(samples: np.ndarray) -> tuple[str, list[float]]:
+        best = logits(samples).argmax(axis=1)
+        frames = np.flatnonzero((best != blank) & (np.diff(best, prepend=-1) != 0))
+        letters = [vocabulary[i].replace(delimiter, " ") for i in best[frames].tolist()]
+        return "".join(letters), (frames * (len(samples) / max(1, len(best)) / rate)).tolist()
+
+    return model
+
+
 class Transcriber:
     """The rule for one message. A chunk whose transcript has no letters, or none that match, adds nothing."""
 
