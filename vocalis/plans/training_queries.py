@@ -68,7 +68,7 @@ _EXAMPLES = "(select conv_id, turn, string_split(coalesce(text,''),' ') as w fro
 _VOCAB = "(select lang as token, row_number() over (order by encode(lang)) - 1 as id from (select distinct lang from documents where lang is not null))"
 _FULL = f"(select case when token = ' ' then '|' else token end as token, id from {_VOCAB} union all select '[UNK]', (select count(*) from {_VOCAB}) union all select '[PAD]', (select count(*) + 1 from {_VOCAB}))"
 ORACLE = {
-    "timed_tokens": f"select conv_id, turn, cast(i-1 as integer) as k, w[i] as token, case when m = 1 then turn::double else round_even(turn + (i-1)/(m-1)::double, 3) end as ts from {_WORDS}, lateral (select unnest(generate_series(1, m)) as i) union all select conv_id, turn, cast(m as integer), ' ', turn + 1 from {_WORDS}",
+    "timed_tokens": f"select conv_id, turn, cast(i-1 as integer) as k, w[i] as token, case when m = 1 then turn::double else (turn*1000 + q + case when 2*r > m-1 or (2*r = m-1 and (turn*1000 + q) % 2 = 1) then 1 else 0 end) / 1000.0::double end as ts from (select *, case when m > 1 then (i-1)*1000 // (m-1) end as q, case when m > 1 then (i-1)*1000 % (m-1) end as r from {_WORDS}, lateral (select unnest(generate_series(1, m)) as i)) union all select conv_id, turn, cast(m as integer), ' ', turn + 1 from {_WORDS}",
     "length_filter": f"select conv_id, turn from {_EXAMPLES} where len(w) > 20 and len(w) < 60",
     "partial_chunks": f"select vec_id, cast(k as integer) as k, cast(least(15, len(x)-k*15) as integer) as n from {VECTORS_SQL}, generate_series(0,4) g(k) where least(15, len(x)-k*15) > 7.5",
     "calibration_filter": f"select event_id from {segments_sql()} where start <= 1704196800.0",
