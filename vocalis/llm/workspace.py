@@ -9,23 +9,26 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The cleaner works in a thread of its own.
-CLEANER_SECONDS = 0.7
+#: Temporary folders of applications that run in one process and have no shared folder, by application.
+_OWN: dict[str, str] = {}
+#: With this setting, the shuffle files of a written table go when the table is there.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the session; where none is configured the warehouse, and a temporary folder only where all runs in one process (tests)."""
+    """The shared folder of the session, qualified; where none is configured the warehouse, and a temporary folder only where all runs in one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        alone = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
-        root = f"file://{tempfile.mkdtemp(prefix='vocalis-')}" if alone else spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root if "://" in root or root.startswith("file:") else f"file://{root}"
+    if not root and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="vocalis-")
+        root = f"file://{_OWN[app]}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root or spark.conf.get("spark.sql.warehouse.dir"))
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
 
 
 class Workspace:
@@ -43,7 +46,12 @@ class Workspace:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and return a DataFrame that reads the files."""
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -61,11 +69,9 @@ class Workspace:
                 fs.delete(status.getPath(), True)
 
     def release(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of plans that are no longer referenced, and give it a moment to do so."""
-        for _ in range(2):  # what the first round lets go of may hold more
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(CLEANER_SECONDS)
+        """Let go of plans that are no longer referenced, so that Spark's cleaner can delete what they hold."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
