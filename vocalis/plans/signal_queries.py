@@ -18,7 +18,7 @@ U, E = ["user_id"], "event_id"
 VOCAB = ["<pad>", "|", *"etaonihsrdlumwcfgypbvk'xjqz", "0", "1", "2", "3", "4", "5", "6", "7", "8", "9", *"ABCDEFGHIJKLMNOPQRSTUVWXYZ"][:64]
 
 
-def _frames(s, d):
+def frames(s, d):
     return vectors(s, d).select(F.floor(F.col("vec_id") / 20).alias("msg"), (F.col("vec_id") % 20).alias("frame"), "x")
 
 
@@ -68,8 +68,8 @@ QUERIES = {
     "slice_by_time": lambda s, d: vectors(s, d).select("vec_id", F.size(R.time_slice(F.col("x"), F.lit(0.5), F.lit(9.0), 10)).alias("n")),
     "argmax_map": lambda s, d: vectors(s, d).select("vec_id", R.arg_max(F.col("x")).cast("int").alias("best")),
     "softmax": lambda s, d: vectors(s, d).select("vec_id", F.posexplode(R.softmax(F.col("x"))).alias("k", "p")).select("vec_id", "k", F.round("p", 9).alias("p")),
-    "ctc_greedy": lambda s, d: D.ctc_greedy(_frames(s, d), ["msg"], "frame", "x", VOCAB).select("msg", "text", F.array_join(F.transform("frames", lambda x: x.cast("string")), ",").alias("frames")),
-    "ctc_beams": lambda s, d: _frames(s, d).groupBy("msg").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "x"))), lambda f: f["x"]).alias("f")).select("msg", F.posexplode(D.ctc_beams(VOCAB, width=100)("f")).alias("rank", "b")).select("msg", "rank", "b.text", F.round("b.score", 6).alias("score")),
+    "ctc_greedy": lambda s, d: D.ctc_greedy(frames(s, d), ["msg"], "frame", "x", VOCAB).select("msg", "text", F.array_join(F.transform("frames", lambda x: x.cast("string")), ",").alias("frames")),
+    "ctc_beams": lambda s, d: frames(s, d).groupBy("msg").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "x"))), lambda f: f["x"]).alias("f")).select("msg", F.posexplode(D.ctc_beams(VOCAB, width=100)("f")).alias("rank", "b")).select("msg", "rank", "b.text", F.round("b.score", 6).alias("score")),
     "interp_timestamps": lambda s, d: read(s, d, "conversations").select("conv_id", "turn", F.posexplode(R.interpolate_rounded(F.col("turn").cast("double"), (F.col("turn") + 1).cast("double"), F.lit(9))).alias("k", "t")),
     "interp_middle": lambda s, d: read(s, d, "conversations").select("conv_id", "turn", F.posexplode(R.interpolate(F.col("turn").cast("double"), (F.col("turn") + 2).cast("double"), (F.col("turn") % 3 + 1).cast("int"))).alias("k", "t")),
     "charwise_idx": lambda s, d: read(s, d, "benchmark").select("item_id", F.posexplode(R.character_frames(F.array(F.struct(F.col("text").alias("word"), F.lit(0).alias("start"), F.round(F.length("text") * 17 / 7).cast("int").alias("end"))))).alias("k", "frame")),
