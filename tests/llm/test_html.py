@@ -48,7 +48,12 @@ def test_the_sums_decide():
     assert html.main_text(page, span=1, surge=20, dive=20).count("\n") == 1
     marked = "<p>" + "teaser " * 80 + "</p><article><p>Hi.</p><p>The text.</p></article><p>About us</p>"
     assert html.main_text(marked) == "Hi.\nThe text."
-    assert html.main_text(marked, surge=3, dive=1) == ("teaser " * 80).strip() + "\nHi.\nThe text."
+    # the marks settle the ends, whatever the thresholds
+    assert html.main_text(marked, surge=3, dive=1) == "Hi.\nThe text."
+    card = "<article><a href=x>Card</a></article>"
+    long = "<article><p>" + "long text here " * 10 + "</p><p>End.</p></article>"
+    assert html.main_text(card + "<p>About us and more</p>" * 9 + long) == ("long text here " * 10).strip() + "\nEnd."
+    assert html.main_text(card + "<hr>" + card) == "Card\nCard"
 
 
 @pytest.mark.parametrize("unit", ['<a href="x" ', '<a "', "<a \"'", "<b><i></u>", "<b></div><div>", "<form>", "<li><b>", "<div>", "<article class=x>", "<!--", "<![CDATA[", "&amp", "<script>", "<p <p"])
@@ -75,3 +80,19 @@ def test_tables_of_odd_pages(spark):
     assert got == sorted(want, key=str)
     empty = html.extract_main_text(df.limit(0))
     assert empty.columns == ["page_id", "url", "text", "n_chars"] and empty.count() == 0
+
+
+def test_words_in_ids_of_text_are_no_furniture():
+    for tag in ("article", "main", "div"):
+        page = f"""<{tag}><h2 id="search-algorithms">Search</h2><p>{"words of text " * 9}</p><h2 id="comments-on-the-law">Comments</h2><p id="promotion-history">A promotion.</p><p>Last words here.</p></{tag}>"""
+        assert html.main_text(page) == "Search\n" + ("words of text " * 9).strip() + "\nComments\nA promotion.\nLast words here."
+    inside = '<article><p>Text.</p><section id="navigation-at-sea"><p>At sea.</p></section><div class="wide comments-section">A reader</div><div id="comments">B</div><ul class="breadcrumb"><li>C</ul><div class="ad-slot">D</div><p class="advert">E</p></article>'
+    assert html.main_text(inside) == "Text.\nAt sea."
+    assert html.main_text('<div class="post-comments-below">A reader</div><p>' + "words of text " * 9 + "</p>") == ("words of text " * 9).strip()
+
+
+def test_furniture_does_not_part_the_text():
+    adverts = '<div class="ad">Buy this now, it is very cheap today</div>' * 4
+    assert html.main_text(f"<article><p>{'words of text ' * 9}</p>{adverts}<p>A</p></article>") == ("words of text " * 9).strip() + "\nA"
+    assert html.main_text(f"<p>Intro.</p><nav><ul>{'<li>Menu' * 9}</ul></nav><p>{'words of text ' * 9}</p>") == "Intro.\n" + ("words of text " * 9).strip()
+    assert html.main_text("<p><a href=x>One link only</a></p>") == "One link only"

@@ -443,3 +443,25 @@ def test_fragments_leave_linked_pairs_a_common_one():
                 a, b = (np.unique(np.concatenate([both, x])) for x in (extra[:cut], extra[cut:]))
                 if len(extra):
                     assert len(np.intersect1d(jaccard.signatures(a, sim), jaccard.signatures(b, sim)))
+
+def test_near_passages_behind_smaller_documents_that_are_less_alike(spark):
+    """A passage with one word edited is found though smaller documents hold it with four words edited."""
+    for versions in (0, 5, 30):
+        rng, vocab = random.Random(30 + versions), [f"w{i}" for i in range(20000)]
+        some = lambda n: [rng.choice(vocab) for _ in range(n)]
+        docs, where, at = [], {}, 0
+        for i in range(60):
+            p = some(60)
+            for k in range(versions):
+                q = list(p)
+                for x in rng.sample(range(60), 4):
+                    q[x] = f"v{k}"
+                docs.append((1000 * i + k, " ".join([*some(30), *q, *some(30)])))
+            q = list(p)
+            q[rng.randrange(20, 40)] = "zzz"
+            before = some(rng.randrange(20, 90))
+            docs += [(100_000 + i, " ".join([*some(40), *p, *some(40)])), (200_000 + i, " ".join([*before, *q, *some(40)]))]
+            where[200_000 + i] = len(before)
+        got = {r.doc_id: [(s.start, s.end) for s in r.repeated] for r in substring.near_duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        found = sum(any(a <= at + 2 and b >= at + 58 for a, b in got[i]) for i, at in where.items())
+        assert found >= 57, (versions, found)

@@ -1,16 +1,17 @@
 """Main text of HTML pages by the distribution of line blocks (operator 3).
 
-Markup is stripped into lines, one for each block element, and each line gets a length. Lines inside page
-furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) have length 0. Where a page
-marks an article, markup weighs the lengths: a character inside counts ``INSIDE`` times, one outside a ``OUTSIDE``-th;
-elsewhere characters in links don't count. The page itself and its outermost article are no furniture whatever
-their classes say, nor is a form that holds the article or all text of the page.
-
-The span of the text is found by the sums of lengths over windows of ``span`` lines, by the same thresholds on all
-pages: a region holds a window that surges to ``surge`` and goes on over the windows next to it until their sum
-dives below ``dive``. Its first and last line are those of ``dive / span`` or more, what a line has there on average; lines between them are kept but for
-furniture (and, of pages with an article, lines outside it of length 0). Where no sum surges, all lines that
-have a length are kept.
+Markup is stripped into lines, one for each block element, and lines inside page furniture (menus, headers, footers,
+sidebars, notices, adverts, forms, reader comments) are left out. Of the others each gets a length, on all pages alike: its characters
+but for spaces and those in links. Furniture is told by element and role, and by words of ids and classes: outside an article a
+container with such a word is furniture, elsewhere (and for headings, paragraphs and the like everywhere) an id or class has to consist of such words and
+``FRAME`` words alone, since ids of headings are made of their text. The page itself and its outermost article are no
+furniture whatever their classes say, nor is a form that holds the article or all text of the page.
+
+The span of the text is found by the sums of lengths over windows of ``span`` lines: a region holds a window that surges to ``surge``
+and goes on over the windows next to it until their sum dives below ``dive``. Its first and last line are those of ``dive / span`` or
+more, what a line has there on average; all lines between them are kept. Where a page marks articles, the marks settle what the sums
+leave open, namely the ends: an article that a region touches is kept as a whole, and nothing around it. Where no
+region touches any, all of them are kept; where no sum surges on a page without marks, all lines that have a length, or all.
 
 A null or empty page has an empty text. Repeated pages give repeated rows; a table without rows
 gives none. Columns besides those named are not read. Time is linear in the page, however its tags are nested or broken.
@@ -43,47 +44,56 @@ NOISE = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead comment comments disqus replies respond "
     "newsletter subscribe subscription signup login search pagination pager".split()
 )
-#: Weights of characters inside a marked article and, as a divisor, outside it.
-INSIDE, OUTSIDE = 16, 256
+#: Words that an id or class of furniture may have besides, where it must have no others.
+FRAME = frozenset("section list box area container wrapper wrap block slot unit bar widget inner links link item items form thread count button reader readers user users site page top bottom main global header".split())
+#: Elements that are furniture only by whole ids and classes: their ids are often made of the text.
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th tr span a b i em strong code pre blockquote figure figcaption caption table label abbr cite q small sub sup time".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 ARTICLE = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
 FORM_END = re.compile(r"</form(?=[\s/>])", re.I)
 CLOSES_P = BLOCK - {"br", "option"}
 
 
-def _noisy(tag: str, by_words: bool = True) -> bool:
+def _noisy(tag: str, words: str = "any") -> bool:
+    """Whether attributes tell of furniture: by a word of ids and classes (``any``), by ids and classes that say nothing else (``whole``), or by none (``no``)."""
     for name, value in ATTRIBUTE.findall(tag):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             return True
-        if not by_words:
+        if words == "no":
             continue
         if name == "role":
             if value.lower() in ROLES:
                 return True
-        elif name in ("id", "class", "aria-label") and not NOISE.isdisjoint(w.lower() for w in WORDS.findall(value)):
-            return True
+        elif name in ("id", "class", "aria-label"):
+            if words == "any":
+                tokens = [value]
+            else:
+                tokens = value.split() if name == "class" else [value]
+            for token in tokens:
+                found = {w.lower() for w in WORDS.findall(token)}
+                if not NOISE.isdisjoint(found) and (words == "any" or found <= NOISE | FRAME):
+                    return True
     return False
 
 
-def lines_of(html: str, forms: bool = True) -> tuple[list[tuple[str, int, bool, bool]], bool]:
-    """Lines as (text, characters in links, in furniture, in an article); whether the page marks an article. Without ``forms`` no form is furniture."""
-    out: list[tuple[str, int, bool, bool]] = []
+def lines_of(html: str, forms: bool = True) -> list[tuple[str, int, int]]:
+    """Lines outside furniture as (text, characters in links, number of the article or 0). Without ``forms`` no form is furniture."""
+    out: list[tuple[str, int, int]] = []
     stack: list[tuple[str, bool, bool]] = []  # element, furniture, article
     blocks: list[int] = []  # places of block elements in the stack
     open_now: Counter[str] = Counter()
     articles = [m.start() for m in ARTICLE.finditer(html)]
     form_ends = [m.start() for m in FORM_END.finditer(html)]
     parts: list[str] = []
-    linked = noise = article = at = 0
-    marked = False
+    linked = noise = article = number = at = 0
 
     def end_line() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         parts.clear()
-        if text:
-            out.append((text, linked, noise > 0, article > 0))
+        if text and not noise:
+            out.append((text, linked, number if article else 0))
         linked = 0
 
     def text(piece: str) -> None:
@@ -151,12 +161,13 @@ def lines_of(html: str, forms: bool = True) -> tuple[list[tuple[str, int, bool,
         if name in ("html", "body"):
             bad = False
         elif name == "form" and (not forms or holds_article()):
-            bad = _noisy(tag, by_words=False)
+            bad = _noisy(tag, "no")
         else:
             outermost = name == "main" or (name == "article" and not open_now["article"])
-            bad = name in FURNITURE or (name == "header" and not article) or _noisy(tag, by_words=not outermost)
+            words = "no" if outermost else "whole" if article or name in TEXTUAL else "any"
+            bad = name in FURNITURE or (name == "header" and not article) or _noisy(tag, words)
         main = not noise and not bad and (name in ("article", "main") or 'role="main"' in tag.lower())
-        marked |= main
+        number += main and not article
         noise += bad
         article += main
         if name in BLOCK:
@@ -164,16 +175,7 @@ def lines_of(html: str, forms: bool = True) -> tuple[list[tuple[str, int, bool,
         open_now[name] += 1
         stack.append((name, bad, main))
     end_line()
-    return out, marked
-
-
-def line_lengths(lines: list[tuple[str, int, bool, bool]], marked: bool) -> list[int]:
-    """The weighted length of each line."""
-    lengths = []
-    for text, linked, noisy, inside in lines:
-        n = len(text)
-        lengths.append(0 if noisy else n * INSIDE if inside else n // OUTSIDE if marked else max(0, n - text.count(" ") - linked))
-    return lengths
+    return out
 
 
 def main_regions(lengths: list[int], span: int, surge: int, dive: int) -> list[tuple[int, int]]:
@@ -203,17 +205,19 @@ def main_regions(lengths: list[int], span: int, surge: int, dive: int) -> list[t
 
 def main_text(html: str | None, span: int = 3, surge: int = 40, dive: int = 10) -> str:
     """The main text, one line for each block."""
-    lines, marked = lines_of(html or "")
-    lengths = line_lengths(lines, marked)
-    if not any(lengths):
-        lines, marked = lines_of(html or "", forms=False)
-        lengths = line_lengths(lines, marked)
-    kept = [False] * len(lines)
-    for first, behind in main_regions(lengths, span, surge, dive) if lines else []:
-        for i in range(first, behind):
-            kept[i] = not lines[i][2] and (lengths[i] > 0 or not marked)
-    if not any(kept):
-        kept = [n > 0 for n in lengths]
+    lines = lines_of(html or "") or lines_of(html or "", forms=False)
+    lengths = [max(0, len(text) - text.count(" ") - linked) for text, linked, _ in lines]
+    regions = main_regions(lengths, span, surge, dive) if lines else []
+    articles = {n for _, _, n in lines} - {0}
+    if articles:
+        touched = {lines[i][2] for first, behind in regions for i in range(first, behind)} - {0}
+        kept = [n in (touched or articles) for _, _, n in lines]
+    else:
+        kept = [False] * len(lines)
+        for first, behind in regions:
+            kept[first:behind] = [True] * (behind - first)
+        if not any(kept):
+            kept = [n > 0 or not any(lengths) for n in lengths]
     return "\n".join(line[0] for line, keep in zip(lines, kept, strict=True) if keep)
 
 

@@ -161,7 +161,9 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int =
             yield flush()
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    ordered = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    # texts of one id have an order too, and may stand in several parts
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     return ordered.mapInArrow(run, "part long, file long, path string, n_docs long, n_tokens long")
 
 
