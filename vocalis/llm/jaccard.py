@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from vocalis.llm.blocks import Forest, deal_blocks, sorted_groups
 from vocalis.llm.components import connected_components
+from vocalis.llm.memory import tidied
 from vocalis.llm.shingles import mix, shingle_set
 from vocalis.llm.workspace import Workspace, partitions
 
@@ -129,6 +130,7 @@ def _fingerprint(grams: np.ndarray) -> tuple[int, int]:
 
 
 def _describe(docs: DataFrame, k: int, sim: Similarity) -> DataFrame:
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, first, second, sigs, bits = [], [], [], [], []
@@ -151,6 +153,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, sim: Similarity, space: W
     """The pairs (a, b, na, nb) whose overlap, counted in pieces of the order and summed, is large enough."""
     n = partitions(docs.sparkSession)
 
+    @tidied
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at, segs = [], [], []
@@ -168,6 +171,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, sim: Similarity, space: W
     texts = docs.join(needed, "doc_id").select("doc_id", "text").mapInArrow(pieces, "doc long, piece int, seg binary")
     cut = space.table(texts, f"{name}-pieces")
 
+    @tidied
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
@@ -209,6 +213,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
     sizes = reps.select("doc_id", "n", "bits")
 
+    @tidied
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -257,6 +262,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     grown(_verify(named, likely(held, "central"), k, sim, space, "links-central"), "central")
 
     def compare(whole: bool):
+        @tidied
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for group in sorted_groups(batches, 3):
                 sig, side, doc, comp, size = (group.column(c).to_numpy() for c in (0, 3, 4, 5, 6))

@@ -170,6 +170,11 @@ def encoder(kind, content: str):
     return _made[key]
 
 
+def forget() -> None:
+    """Let go of the encoders; the next use makes them anew."""
+    _made.clear()
+
+
 def read_tokenizer(path: str) -> str:
     """The tokenizer file, read on the driver; a few MB whatever the corpus, so it may be broadcast."""
     with open(path, encoding="utf-8") as f:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Temporary folders of applications that run in one process and have no shared folder, by application.
 _OWN: dict[str, str] = {}
+#: Rows of the batches that go through Python on the way to a table: texts may be long, and several tasks share an executor.
+ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2500"
 #: With this setting, the shuffle files of a written table go when the table is there.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -46,12 +48,15 @@ class Workspace:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and return a DataFrame that reads the files."""
         path = f"{self.path}/{name}"
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
+        conf, settings = self.spark.conf, {CLEANUP: "true", ROWS: BATCH_ROWS}
+        before = {k: conf.get(k, None) for k in settings}
+        for k, v in settings.items():
+            conf.set(k, v)
         try:
             df.write.mode("overwrite").parquet(path)
         finally:
-            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
