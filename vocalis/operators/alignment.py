@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import difflib
+import math
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,37 +22,44 @@ def align(ref: list[str], hyp: list[str], eps: str = "*") -> tuple[int, list[tup
 
     Of equal scores a pair of tokens is preferred to a deletion, a deletion to an insertion, and the
     last place of the reference where the best score ends.
+
+    Score rows are vectors; one in about sqrt(n) is kept, and rows between two of them are made again on the way
+    back: memory grows with m * sqrt(n), time with n * m.
     """
     n, m = len(ref), len(hyp)
     if not m:
         return 0, [(r, eps, i, 0, i + 1, 0) for i, r in enumerate(ref)]
-    worst = -(m + 2)
-    score = [[worst] * (m + 1) for _ in range(n + 1)]
-    back: list[list[str]] = [[""] * (m + 1) for _ in range(n + 1)]
-    for i in range(n + 1):
-        score[i][0] = 0
-    for j in range(1, m + 1):
-        score[0][j], back[0][j] = GAP * j, "i"
-    for i in range(1, n + 1):
-        above, row = score[i - 1], score[i]
-        for j in range(1, m + 1):
-            best, way = worst, ""
-            diag = above[j - 1] + (MATCH if ref[i - 1] == hyp[j - 1] else MISMATCH)
-            if diag >= best:
-                best, way = diag, "d"
-            if above[j] + GAP > best:
-                best, way = above[j] + GAP, "r"
-            if row[j - 1] + GAP > best:
-                best, way = row[j - 1] + GAP, "i"
-            row[j], back[i][j] = best, way
-    end = max(range(n + 1), key=lambda i: (score[i][m], i))
-    i, j, out = end, m, []
+    ids = {t: k for k, t in enumerate(dict.fromkeys(hyp))}
+    wanted, places = np.array([ids[t] for t in hyp]), np.arange(m + 1, dtype=np.int32)
+    pairs = {k: np.where(wanted == k, MATCH, MISMATCH).astype(np.int32) for k in {ids.get(t, -1) for t in ref}}
+
+    def below(row: np.ndarray, token: str) -> np.ndarray:
+        best = row + np.int32(GAP)
+        np.maximum(best[1:], row[:-1] + pairs[ids.get(token, -1)], out=best[1:])
+        best[0] = 0
+        # an insertion costs the same everywhere, so the best one before a place is a running maximum
+        return np.maximum.accumulate(best - GAP * places) + GAP * places
+
+    every = math.isqrt(n) + 1
+    row, kept, last = GAP * places, [GAP * places], [GAP * m]
+    for i, token in enumerate(ref, 1):
+        row = below(row, token)
+        last.append(int(row[m]))
+        if i % every == 0:
+            kept.append(row)
+    end = max(range(n + 1), key=lambda i: (last[i], i))
+    i, j, out, first, block = end, m, [], n + 1, []
     while j:
-        way = back[i][j]
-        if way == "d":
+        if i and i - 1 < first:
+            first = (i - 1) // every * every
+            block = [kept[first // every]]
+            for token in ref[first:i]:
+                block.append(below(block[-1], token))
+        here = block[i - first][j] if i else None
+        if i and here == block[i - 1 - first][j - 1] + (MATCH if ref[i - 1] == hyp[j - 1] else MISMATCH):
             out.append((ref[i - 1], hyp[j - 1], i - 1, j - 1, i, j))
             i, j = i - 1, j - 1
-        elif way == "r":
+        elif i and here == block[i - 1 - first][j] + GAP:
             out.append((ref[i - 1], eps, i - 1, j, i, j))
             i -= 1
         else:
@@ -57,7 +67,7 @@ def align(ref: list[str], hyp: list[str], eps: str = "*") -> tuple[int, list[tup
             j -= 1
     before = [(ref[k], eps, k, 0, k + 1, 0) for k in range(i)]
     after = [(ref[k], eps, k, m, k + 1, m) for k in range(end, n)]
-    return score[end][m], [*before, *out[::-1], *after]
+    return last[end], [*before, *out[::-1], *after]
 
 
 @arrow_function(ALIGNMENT)
@@ -127,21 +137,77 @@ def matching_blocks(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def edit_distance(ref: Sequence, hyp: Sequence) -> int:
+    """Fewest substitutions, insertions and deletions. A column of the table is two bit vectors, so memory grows with the longer side alone."""
+    n, m = len(ref), len(hyp)
+    low = 0
+    while low < min(n, m) and ref[low] == hyp[low]:
+        low += 1
+    while min(n, m) > low and ref[n - 1] == hyp[m - 1]:
+        n, m = n - 1, m - 1
+    ref, hyp = ref[low:n], hyp[low:m]
+    if not ref or not hyp:
+        return len(ref) + len(hyp)
+    places: dict = {}
+    for i, t in enumerate(ref):
+        places.setdefault(t, []).append(i)
+    size = len(ref)
+    equal = {t: _bits(at, size) for t, at in places.items()}
+    every, top, cost = (1 << size) - 1, 1 << (size - 1), size
+    up, down = every, 0
+    for t in hyp:
+        e = equal.get(t, 0)
+        flat = (((e & up) + up) ^ up) | e
+        right, left = (down | ~(flat | up)) & every, up & flat
+        cost += 1 if right & top else -1 if left & top else 0
+        right, e = (right << 1 | 1) & every, e | down
+        up, down = (left << 1 & every | ~(e | right)) & every, right & e
+    return cost
+
+
+def _bits(at: list[int], size: int) -> int:
+    marks = np.zeros(size, bool)
+    marks[at] = True
+    return int.from_bytes(np.packbits(marks, bitorder="little").tobytes(), "little")
+
+
 def _edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
-    """Hits, substitutions, insertions and deletions of a shortest edit; a pair is preferred where it costs no more."""
-    rows = [[(j, 0, 0, j, 0) for j in range(len(hyp) + 1)]]
-    for i, r in enumerate(ref, 1):
-        row = [(i, 0, 0, 0, i)]
-        for j, h in enumerate(hyp, 1):
-            c, hits, s, ins, d = rows[-1][j - 1]
-            options = [(c, hits + 1, s, ins, d) if r == h else (c + 1, hits, s + 1, ins, d)]
-            c, hits, s, ins, d = row[j - 1]
-            options.append((c + 1, hits, s, ins + 1, d))
-            c, hits, s, ins, d = rows[-1][j]
-            options.append((c + 1, hits, s, ins, d + 1))
-            row.append(min(options, key=lambda o: o[0]))
-        rows = [row]
-    return rows[-1][-1][1:]
+    """Hits, substitutions, insertions and deletions of a shortest edit; a pair is preferred where it costs no more, then an insertion.
+
+    A shortest edit leaves the diagonal by at most its cost, so only that band is filled, in vectors along the
+    other diagonal. Deletions follow from insertions and the sizes.
+    """
+    n, m, band = len(ref), len(hyp), edit_distance(ref, hyp)
+    ids = {t: k for k, t in enumerate(dict.fromkeys([*ref, *hyp]))}
+    a, b = np.array([ids[t] for t in ref], np.int64), np.array([ids[t] for t in hyp], np.int64)[::-1]
+    far = n + m + 1
+    # places are shifted by one, so that the first has a neighbour
+    costs, inserted = [np.full(n + 3, far) for _ in range(3)], [np.zeros(n + 3, np.int64) for _ in range(3)]
+    costs[0][1] = 0
+    for s in range(1, n + m + 1):
+        low, high = max(0, s - m, (s - band + 1) // 2), min(n, s, (s + band) // 2)
+        (now, one, two), (ins, ins1, ins2) = ([x[(s - k) % 3] for k in range(3)] for x in (costs, inserted))
+        here, above = slice(low + 1, high + 2), slice(low, high + 1)
+        left, over, cost, count = one[here] + 1, one[above] + 1, np.full(high - low + 1, far), ins2[above].copy()
+        begin, stop = max(low, 1), min(high, s - 1)
+        if begin <= stop:
+            unlike = a[begin - 1 : stop] != b[m - s + begin : m - s + stop + 1]
+            cost[begin - low : stop - low + 1] = two[begin : stop + 1] + unlike
+        for other, counts in ((left, ins1[here] + 1), (over, ins1[above])):
+            better = other < cost
+            cost, count = np.where(better, other, cost), np.where(better, counts, count)
+        now[here], ins[here] = cost, count
+        now[low] = now[high + 2] = far
+    i = int(inserted[(n + m) % 3][n + 1])
+    d = i + n - m
+    sub = band - i - d
+    return n - sub - d, sub, i, d
+
+
+@arrow_function("int")
+def whole_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """Edit distance of whole texts, of any length; null where a side is null."""
+    return pd.Series([None if r is None or h is None else edit_distance(r, h) for r, h in zip(ref, hyp, strict=True)], dtype="Int64")
 
 
 @arrow_function("struct<hits:int,sub:int,ins:int,del:int>")
@@ -166,5 +232,6 @@ def error_rates(df: DataFrame, edits: Column, keys: list[str]) -> DataFrame:
 
 
 def cer(df: DataFrame, ref: str, hyp: str, keys: list[str]) -> DataFrame:
-    """Character error rate with the built-in edit distance."""
-    return df.groupBy(*keys).agg(F.sum(F.levenshtein(ref, hyp)).alias("errors"), F.sum(F.length(ref)).alias("ref_chars"), (F.sum(F.levenshtein(ref, hyp)) / F.sum(F.length(ref))).alias("cer"))
+    """Character error rate of whole texts."""
+    e = df.select(*keys, F.length(ref).alias("n"), whole_distance(F.col(ref), F.col(hyp)).alias("e"))
+    return e.groupBy(*keys).agg(F.sum("e").alias("errors"), F.sum("n").alias("ref_chars"), (F.sum("e") / F.sum("n")).alias("cer"))
