@@ -82,7 +82,9 @@ def interpolate(start: Column, end: Column, n: Column) -> Column:
 
 def character_frames(spans: Column) -> Column:
     """A frame for each character of words that span frames: structs of word, start, end."""
-    return F.flatten(F.transform(spans, lambda w: F.transform(F.sequence(F.lit(0), F.length(w["word"]) - 1), lambda k: F.bround(w["start"] + (w["end"] - w["start"]) * k / F.length(w["word"])).cast("int"))))
+    frame = lambda w, k: F.bround(w["start"] + (w["end"] - w["start"]) * k / F.length(w["word"])).cast("int")
+    some = F.filter(spans, lambda w: F.length(w["word"]) > 0)
+    return F.flatten(F.transform(some, lambda w: F.transform(F.sequence(F.lit(0), F.length(w["word"]) - 1), lambda k: frame(w, k))))
 
 
 def frame_times(frames: Column, audio_len: Column, logit_len: Column, rate: int, first_sample: Column | None = None) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocalis.functions.text import drop_punctuation
+from vocalis.operators.ordinals import number_rows
 
 
 def token_counts(df: DataFrame, text: Column) -> DataFrame:
@@ -41,12 +42,16 @@ def prune_ngrams(counts: DataFrame, thresholds: str = "0|8|9") -> DataFrame:
 
 def char_vocabulary(df: DataFrame, text: Column, delimiter: str = "|", extra: tuple[str, ...] = ("[UNK]", "[PAD]")) -> DataFrame:
     """Distinct characters in order with ids; the space becomes the delimiter, special tokens come last."""
-    chars = df.select(F.explode(F.split(text, "")).alias("c")).filter("c <> ''").distinct()
-    # as many rows as there are distinct characters
-    ids = chars.select(F.when(F.col("c") == " ", F.lit(delimiter)).otherwise(F.col("c")).alias("token"), (F.row_number().over(Window.orderBy(F.hex("c"))) - 1).cast("long").alias("id"))
-    n = chars.count()
-    rest = df.sparkSession.createDataFrame([(t, n + i) for i, t in enumerate(extra)], "token string, id long")
-    return ids.unionByName(rest)
+    chars = df.select(F.explode(F.array_distinct(F.split(text, ""))).alias("c")).filter("c <> ''").distinct()
+    # one row of as many elements as there are distinct characters
+    ordered = chars.agg(F.array_sort(F.collect_list(F.struct(F.hex("c").alias("h"), F.col("c").alias("c")))).alias("o"))
+    named = F.transform("o", lambda x: F.when(x["c"] == " ", F.lit(delimiter)).otherwise(x["c"]))
+    return ordered.select(F.posexplode(F.concat(named, F.array(*map(F.lit, extra)))).alias("id", "token")).select("token", F.col("id").cast("long").alias("id"))
+
+
+def vocabulary_except(tokens: DataFrame, known: DataFrame, token: str) -> DataFrame:
+    """Distinct tokens that another vocabulary has not; nulls are no tokens."""
+    return tokens.select(token).filter(F.col(token).isNotNull()).distinct().join(known.select(token).distinct(), token, "left_anti")
 
 
 def top_n_per_label(df: DataFrame, label: str, order: str, n: int) -> DataFrame:
@@ -60,11 +65,16 @@ def other_class(df: DataFrame, label: str, listed: list[str], n: int, order: Col
     return df.filter(~F.col(label).isin(listed)).withColumn(label, F.lit(other)).orderBy(order).limit(n * len(listed))
 
 
-def train_dev_split(df: DataFrame, order: str, dev_size: int) -> DataFrame:
-    """The first ``dev_size`` rows are for development. The cut is found by a top-k, so rows stay where they are."""
-    cut = df.select(order).orderBy(order).limit(dev_size).agg(F.max(order).alias("cut"), F.count(F.lit(1)).alias("have"))
+def train_dev_split(df: DataFrame, order: str | list[str], dev_size: int) -> DataFrame:
+    """The first ``dev_size`` rows by the ``order`` columns (nulls first) are for development; fewer rows are an error.
+
+    The cut is found by a top-k, so rows stay where they are. Rows that no order column tells apart stay
+    together: those at the cut are all for development.
+    """
+    key = F.struct(*([order] if isinstance(order, str) else order))
+    cut = df.select(key.alias("k")).orderBy("k").limit(dev_size).agg(F.max("k").alias("cut"), F.count(F.lit(1)).alias("have"))
     checked = cut.select("cut", F.when(F.col("have") < dev_size, F.raise_error(F.lit("fewer rows than the development set needs"))).otherwise(F.lit(0)).cast("int").alias("ok"))
-    return df.join(F.broadcast(checked)).withColumn("split", F.when(F.col(order) <= F.col("cut"), "dev").otherwise("train")).drop("cut", "ok")
+    return df.join(F.broadcast(checked)).withColumn("split", F.when((key <= F.col("cut")) & (F.col("ok") == 0), "dev").otherwise("train")).drop("cut", "ok")
 
 
 def mix_corpora(parts: list[DataFrame], limit: int, order: str) -> DataFrame:
@@ -95,9 +105,18 @@ def punctuation_labels(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
 def batch_words(labels: DataFrame, key: str, pos: str, size: int) -> DataFrame:
     """Words and labels in lines of ``size`` words, within each key."""
     w = Window.partitionBy(key).orderBy(pos)
-    n = labels.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    return _lines(labels.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size)), [key], pos)
+
+
+def batch_corpus(labels: DataFrame, key: str, pos: str, size: int) -> DataFrame:
+    """Words and labels in lines of ``size`` words through the whole corpus, across borders of keys (numbers) and texts; the last one may be short."""
+    rows = number_rows(labels, F.col(key), [pos], "row")
+    return _lines(rows.withColumn("batch", F.floor(F.col("row") / size)), [], "row")
+
+
+def _lines(batched: DataFrame, keys: list[str], pos: str) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct(pos, "word", "label")))
-    return n.groupBy(key, "batch").agg(ordered.alias("o")).select(key, "batch", F.array_join(F.transform("o", lambda x: x["word"]), " ").alias("text"), F.array_join(F.transform("o", lambda x: x["label"]), " ").alias("labels"))
+    return batched.groupBy(*keys, "batch").agg(ordered.alias("o")).select(*keys, "batch", F.array_join(F.transform("o", lambda x: x["word"]), " ").alias("text"), F.array_join(F.transform("o", lambda x: x["label"]), " ").alias("labels"))
 
 
 def worker_range(n: Column, workers: int, worker: int) -> Column:

@@ -163,17 +163,40 @@ def transfer_labels(segments: DataFrame, labels: DataFrame, keys: list[str], tie
     return found.filter("kind = 1").select("row.*", F.when(c.isNotNull() & (inside | (share_of >= share)), c["l_label"]).otherwise(F.lit(outside)).alias("new_label"))
 
 
+def _bins(df: DataFrame, widths: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each bin of the key's width that a span touches (``bin``, ``first_bin``)."""
+    wide = df.join(widths, [df[k].eqNullSafe(widths[f"_{k}"]) for k in keys]).drop(*(f"_{k}" for k in keys))
+    low, high = (F.floor(F.col(c) / F.col("_width")) for c in ("start", "end"))
+    return wide.withColumn("first_bin", low).withColumn("bin", F.explode(F.sequence(low, F.greatest(low, high)))).drop("_width")
+
+
+def _widths(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """The mean duration of each key's spans. A span then touches at most two bins more than its share of the key's time, so all of them touch at most three a span."""
+    mean = F.avg(F.greatest(F.col("end") - F.col("start"), F.lit(0.0)))
+    return spans.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.greatest(mean, F.lit(1e-3)).alias("_width"))
+
+
 def tokens_in_blocks(tokens: DataFrame, blocks: DataFrame, key: str, block_id: str, time_col: str = "ts", pos: str = "pos", token: str = "token") -> DataFrame:
-    """The tokens of each block's time range, in order, as one text."""
-    b, t = blocks.alias("b"), tokens.alias("t")
-    hit = b.join(t, (F.col(f"b.{key}") == F.col(f"t.{key}")) & (F.col(f"t.{time_col}") >= F.col("b.start")) & (F.col(f"t.{time_col}") < F.col("b.end")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(f"t.{pos}").alias("p"), F.col(f"t.{token}").alias("w")))), lambda x: x["w"]), " ")
-    return hit.groupBy(F.col(f"b.{key}").alias(key), F.col(f"b.{block_id}").alias(block_id)).agg(text.alias("text"), F.count(F.lit(1)).alias("n_tokens"))
+    """The tokens of each block's time range, in order, as one text. They meet by key and time bin, not by key alone."""
+    spans = blocks.select(key, F.col(block_id).alias("_block"), "start", "end").filter("end > start")
+    widths = _widths(spans, [key])
+    b = _bins(spans, widths, [key]).alias("b")
+    t = _bins(tokens.select(key, F.col(time_col).alias("start"), F.col(time_col).alias("end"), F.col(pos).alias("p"), F.col(token).alias("w")), widths, [key]).alias("t")
+    hit = b.join(t, F.col(f"b.{key}").eqNullSafe(F.col(f"t.{key}")) & (F.col("b.bin") == F.col("t.bin")) & (F.col("t.start") >= F.col("b.start")) & (F.col("t.start") < F.col("b.end")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t.p", "t.w"))), lambda x: x["w"]), " ")
+    return hit.groupBy(F.col(f"b.{key}").alias(key), F.col("b._block").alias(block_id)).agg(text.alias("text"), F.count(F.lit(1)).alias("n_tokens"))
 
 
 def overlap_seconds(system: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
-    """Seconds that each label of the system shares with each label of the reference."""
-    s, r = system.alias("s"), reference.alias("r")
-    hit = s.join(r, [F.col(f"s.{k}") == F.col(f"r.{k}") for k in keys] + [F.col("s.start") < F.col("r.end"), F.col("r.start") < F.col("s.end")])
+    """Seconds that each label of the system shares with each label of the reference.
+
+    Segments meet by key and time bin; a pair counts in the first bin that both touch. Null keys are a key.
+    """
+    columns = [*keys, "start", "end", "label"]
+    sides = [x.select(*columns).filter("end > start") for x in (system, reference)]
+    widths = _widths(sides[0].unionByName(sides[1]), keys)
+    s, r = _bins(sides[0], widths, keys).alias("s"), _bins(sides[1], widths, keys).alias("r")
+    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    hit = s.join(r, [*same, F.col("s.bin") == F.col("r.bin"), F.col("s.bin") == F.greatest("s.first_bin", "r.first_bin"), F.col("s.start") < F.col("r.end"), F.col("r.start") < F.col("s.end")])
     dur = F.least("s.end", "r.end") - F.greatest("s.start", "r.start")
     return hit.groupBy(*[F.col(f"s.{k}").alias(k) for k in keys], F.col("s.label").alias("sys_label"), F.col("r.label").alias("ref_label")).agg(F.sum(dur).alias("seconds"))

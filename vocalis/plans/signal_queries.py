@@ -57,7 +57,7 @@ QUERIES = {
     "label_transfer": lambda s, d: S.transfer_labels(segments(s, d, 10.0).select("user_id", "event_id", "start", "end"), segments(s, d, 300.0), U, E, E),
     "tokens_in_blocks": lambda s, d: S.tokens_in_blocks(_tokens(s, d), _blocks(s, d), "conv_id", "block"),
     "der_overlap": lambda s, d: S.overlap_seconds(segments(s, d, 1.0), _reference(s, d), U).select("user_id", "sys_label", "ref_label", F.round("seconds", 4).alias("seconds")),
-    "der_rates": lambda s, d: M.diarization_error(S.overlap_seconds(segments(s, d, 1.0), _reference(s, d), U), _reference(s, d), segments(s, d, 1.0)),
+    "der_rates": lambda s, d: M.diarization_error(S.overlap_seconds(segments(s, d, 1.0), _reference(s, d), U), _reference(s, d), segments(s, d, 1.0)).select(*(F.round(c, 6).alias(c) for c in ("miss", "false_alarm", "confusion", "der"))),
     "chunk_overlap": lambda s, d: vectors(s, d).select("vec_id", F.explode(K.overlapping_chunks(F.size("x"), 20, 8)).alias("c")).select("vec_id", "c.*"),
     "chunk_overlap_early": lambda s, d: vectors(s, d).select("vec_id", F.explode(K.overlapping_chunks(F.size("x"), 20, 8, 4)).alias("c")).select("vec_id", "c.*"),
     "chunk_stateful": lambda s, d: chunk_batch(K.frame_messages(_pieces(s, d), ["message_id"], "k", "array"), 20, 8),
@@ -65,7 +65,7 @@ QUERIES = {
     "fixed_chunks": lambda s, d: vectors(s, d).select("vec_id", F.posexplode(R.fixed_chunks(F.col("x"), 10)).alias("k", "c")).select("vec_id", "k", F.size("c").alias("n"), F.get("c", F.lit(0)).alias("first")),
     "int16_roundtrip": lambda s, d: vectors(s, d).select("vec_id", F.posexplode(R.to_int16(F.col("x"))).alias("k", "v")),
     "normalize_audio": lambda s, d: vectors(s, d).select("vec_id", F.posexplode(R.attenuate(F.col("x"), 0.2)).alias("k", "v")).select("vec_id", "k", F.round("v", 9).alias("v")),
-    "slice_by_time": lambda s, d: vectors(s, d).select("vec_id", F.size(R.time_slice(F.col("x"), F.lit(0.5), F.lit(9.0), 10)).alias("n")),
+    "slice_by_time": lambda s, d: vectors(s, d).select("vec_id", R.time_slice(F.col("x"), (F.col("vec_id") % 7) * 0.5, (F.col("vec_id") % 11) * 0.7, 10).alias("y")).select("vec_id", F.size("y").alias("n"), F.get("y", F.lit(0)).alias("first")),
     "argmax_map": lambda s, d: vectors(s, d).select("vec_id", R.arg_max(F.col("x")).cast("int").alias("best")),
     "softmax": lambda s, d: vectors(s, d).select("vec_id", F.posexplode(R.softmax(F.col("x"))).alias("k", "p")).select("vec_id", "k", F.round("p", 9).alias("p")),
     "ctc_greedy": lambda s, d: D.ctc_greedy(frames(s, d), ["msg"], "frame", "x", VOCAB).select("msg", "text", F.array_join(F.transform("frames", lambda x: x.cast("string")), ",").alias("frames")),
@@ -132,7 +132,7 @@ ORACLE = {
     "fixed_chunks": f"select vec_id, cast(j as integer) as k, cast(least(10, 64-j*10) as integer) as n, x[j*10+1] as first from {VECTORS_SQL}, generate_series(0,6) g(j)",
     "int16_roundtrip": f"select vec_id, k, cast(trunc(v/{_MAX}*32767) as smallint) as v from {_X}",
     "normalize_audio": f"select vec_id, k, round(case when {_MAX} > 0.2 then v/{_MAX}*0.2 else v end, 9) as v from {_X}",
-    "slice_by_time": "select vec_id, 58 as n from embeddings",
+    "slice_by_time": f"select vec_id, cast(greatest(b - a, 0) as integer) as n, case when b > a then x[a + 1] end as first from (select *, cast(vec_id % 7 * 5 as integer) as a, cast(least(len(x) - 1, vec_id % 11 * 7) as integer) as b from {VECTORS_SQL})",
     "argmax_map": f"select vec_id, cast(list_position(x, list_max(x)) - 1 as integer) as best from {VECTORS_SQL}",
     "softmax": f"select vec_id, k, round(exp(v-list_max(x))/list_sum(list_transform(x, lambda e: exp(e-list_max(x)))), 9) as p from {_X}",
     "interp_timestamps": "select conv_id, turn, cast(k as integer) as k, round_even(turn + k/8.0::double, 3) as t from conversations, generate_series(0,8) g(k)",
@@ -151,3 +151,23 @@ ORACLE = {
     "clf_report": f"with p as (select t, p, count(*) as n from {_CLF} group by all), l as (select label, sum(tn) as support, sum(pn) as pn, sum(hit) as hit from (select t as label, n as tn, 0 as pn, 0 as hit from p union all select p, 0, n, case when t = p then n else 0 end from p) group by label), m as (select label, coalesce(hit/nullif(pn,0),0.0) as precision, coalesce(hit/nullif(support,0),0.0) as recall, support, hit from l), f as (select *, coalesce(2*precision*recall/nullif(precision+recall,0),0.0) as f1 from m) select label, round(precision,9) as precision, round(recall,9) as recall, round(f1,9) as f1, support from f union all select 'macro avg', round(avg(precision),9), round(avg(recall),9), round(avg(f1),9), sum(support) from f union all select 'weighted avg', round(sum(precision*support)/sum(support),9), round(sum(recall*support)/sum(support),9), round(sum(f1*support)/sum(support),9), sum(support) from f union all select 'accuracy', round(sum(hit)/sum(support),9), round(sum(hit)/sum(support),9), round(sum(hit)/sum(support),9), sum(support) from f",
     "ctc_greedy": "with f as (select vec_id//20 as msg, vec_id%20 as frame, list_position(embedding, list_max(embedding))-1 as id from embeddings), r as (select *, lag(id) over (partition by msg order by frame) as b from f), k as (select msg, frame, ({0})[id+1] as c from r where id <> 0 and (b is null or b <> id)), g as (select msg, string_agg(c,'' order by frame) as text, string_agg(frame::varchar,',' order by frame) as frames from k where length(c) = 1 group by msg) select m.msg, coalesce(text,' ') as text, coalesce(frames,'0') as frames from (select distinct msg from f) m left join g using (msg)".format("[" + ",".join("'" + (" " if v == "|" else v.replace("'", "''")) + "'" for v in VOCAB) + "]"),
 }
+_SPANS = f"(select user_id, event_id, case when \"end\" - s < 0.08 then greatest(\"end\" - 0.08, 0) else s end as start, \"end\", label from (select *, greatest(start, 0) as s from {_SEG} where trim(label) <> ''))"
+ORACLE["seg_repair"] = f"select *, label as text from {_fixed(_SPANS)}"
+ORACLE["seg_windows"] = f"select event_id, start + k * 0.75::double as start, least(start + k * 0.75::double + 1.5, \"end\") as \"end\" from {segments_sql(0.1)}, lateral (select unnest(generate_series(0, greatest(0, ceil((\"end\" - start - 1.5) / 0.75))::bigint)) as k)"
+ORACLE["interp_middle"] = "select conv_id, turn, cast(k as integer) as k, case when turn % 3 = 0 then turn + 1.0::double else turn + 2.0::double * k / (turn % 3) end as t from conversations, lateral (select unnest(generate_series(0, turn % 3)) as k)"
+ORACLE["charwise_idx"] = "select item_id, cast(k as integer) as k, cast(round_even(round(length(text) * 17 / 7.0::double) * k / length(text), 0) as integer) as frame from benchmark, lateral (select unnest(generate_series(0, length(text) - 1)) as k)"
+ORACLE["vad_segments"] = """
+with o as (select *, coalesce(last_value(case when value / 50 >= 0.4 then 1 when value / 50 < 0.1 then 0 end ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and current row), 0) as voiced from events),
+n as (select *, row_number() over (partition by user_id order by event_id) - row_number() over (partition by user_id, voiced order by event_id) as run from o)
+select user_id, min(event_id) as first, max(event_id) as last, count(*) as frames from n where voiced = 1 group by user_id, run"""
+ORACLE["tokens_in_blocks"] = """
+with w as (select conv_id, turn, string_split(text, ' ') as w, len(string_split(text, ' ')) as m from conversations where text is not null),
+i as (select *, w[i] as token, turn * 1000000 + i as pos, case when m > 1 then (i - 1) * 1000 // (m - 1) else 0 end as q, case when m > 1 then (i - 1) * 1000 % (m - 1) else 0 end as r from w, lateral (select unnest(generate_series(1, m)) as i)),
+t as (select conv_id, pos, token, turn * 1000 + q + case when 2 * r > m - 1 or (2 * r = m - 1 and (turn * 1000 + q) % 2 = 1) then 1 else 0 end as ms from i)
+select b.conv_id, b.turn as block, string_agg(token, ' ' order by pos) as text, count(*) as n_tokens from conversations b join t on b.conv_id = t.conv_id and ms >= b.turn * 1000 + 250 and ms < b.turn * 1000 + 750 group by b.conv_id, b.turn"""
+ORACLE["der_rates"] = f"""
+with o as (select s.label as a, r.label as b, sum(least(s."end", r."end") - greatest(s.start, r.start)) as d from {segments_sql(1.0)} s join (select user_id, start + 0.25 as start, "end", label from {segments_sql(1.0)}) r on s.user_id = r.user_id and s.start < r."end" and r.start < s."end" group by 1, 2),
+p as (select s.user_id, s.label as a, r.label as b, sum(least(s."end", r."end") - greatest(s.start, r.start)) as d from {segments_sql(1.0)} s join (select user_id, start + 0.25 as start, "end", label from {segments_sql(1.0)}) r on s.user_id = r.user_id and s.start < r."end" and r.start < s."end" group by 1, 2, 3),
+m as (select coalesce(sum(hit), 0) as hit, coalesce(sum(shared), 0) as shared from (select a, max(d) as hit, sum(d) as shared from p group by a)),
+x as (select hit, shared, (select sum("end" - start - 0.25) from {segments_sql(1.0)}) as ref, (select sum("end" - start) from {segments_sql(1.0)}) as sys from m)
+select round(100 * greatest(ref - shared, 0) / ref, 6) as miss, round(100 * greatest(sys - shared, 0) / ref, 6) as false_alarm, round(100 * (shared - hit) / ref, 6) as confusion, round(100 * (greatest(ref - shared, 0) + greatest(sys - shared, 0) + shared - hit) / ref, 6) as der from x"""
