@@ -127,7 +127,7 @@ ORACLE = {
     "transcript_join": "select doc_id, lang, quality, toxic from documents join labels using (doc_id)",
     "split_members": "select doc_id, lang from documents where doc_id in (select doc_id from labels)",
     "unlabelled": "select doc_id, lang from documents where doc_id not in (select doc_id from labels)",
-    "cer_by_lang": f"select lang, sum(levenshtein(r,h)) as errors, sum(length(r)) as ref_chars, sum(levenshtein(r,h))/sum(length(r)) as cer from (select lang, t as r, translate(t,'aeiou','eiou') as h from {CLEANED}) group by lang",
+    "cer_by_lang": f"select lang, sum(levenshtein(r,h)) as errors, sum(length(r)) as ref_chars, sum(levenshtein(r,h))/sum(length(r)) as cer from (select lang, t as r, translate(t,'aeiou','eiou') as h from (select distinct doc_id, lang, t from {CLEANED})) group by lang",
     "sox_commands": "select page_id, 'sox ' || url || ' out.wav gain -3.00 sinc 100-7000' as cmd from pages",
     "vocab_except": "select token from (select distinct unnest(string_split(lower(text), ' ')) as token from conversations) where token <> '' and token not in (select unnest(string_split(lower(text), ' ')) from benchmark where text is not null)",
     "punctcap_labels": f"select conv_id, turn, pos, original, lower(w) as word, (case when substr(original,length(original),1) in (',','.','?') then substr(original,length(original),1) else 'O' end) || (case when regexp_matches(w,'^\\p{{Lu}}') then 'U' else 'O' end) as label from (select conv_id, turn, original, cast(i-1 as integer) as pos, translate(original, {quote(T.ASCII_PUNCTUATION.replace(chr(39), '').replace(chr(92), ''))}, '') as w from (select conv_id, turn, unnest(ws) as original, generate_subscripts(ws,1) as i from (select conv_id, turn, list_filter(regexp_split_to_array(text,'{SQL_SPACES}'), lambda x: x <> '') as ws from conversations))) where w <> ''",
