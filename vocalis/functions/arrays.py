@@ -106,3 +106,13 @@ def sized_chunks(a: Column, sizes: Column) -> Column:
 def elements_at(a: Column, places: Column) -> Column:
     """Elements whose positions, from 0, are listed, in their order."""
     return F.filter(a, lambda x, i: F.array_contains(places, i))
+
+
+def model_input(a: Column, bits: int = 16) -> Column:
+    """Integer samples as numbers of -1 to 1 and how many there are."""
+    return F.struct(from_int16(a, bits).alias("signal"), F.size(a).alias("length"))
+
+
+def voice_slices(a: Column, start: Column, spans: Column, rate: int) -> Column:
+    """``start, end, samples`` of each span of voice in a piece that begins at ``start``: the samples by the span's own seconds, the times by the recording's."""
+    return F.transform(spans, lambda s: F.struct((start + s["start"]).alias("start"), (start + s["end"]).alias("end"), time_slice(a, s["start"], s["end"], rate).alias("samples")))

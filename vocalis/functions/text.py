@@ -162,6 +162,45 @@ def sox_command(source: Column, target: Column, gain_db: Column, low_hz: Column,
     return F.format_string("sox %s %s gain %.2f sinc %.0f-%.0f", source, target, gain_db, low_hz, high_hz)
 
 
+def sox_part(source: Column, **effects: str | float | tuple) -> Column:
+    """A piped command: effects with their values, in order; a source that is a command itself is put in brackets."""
+    values = lambda v: " ".join(map(str, v)) if isinstance(v, (tuple, list)) else str(v)
+    chain = " ".join(f"{k.replace('_', ' -')} {values(v)}" for k, v in effects.items())
+    return F.concat(F.lit("sox "), F.when(source.startswith("sox"), F.concat(F.lit("<("), source, F.lit(")"))).otherwise(source), F.lit(f" -p {chain}"))
+
+
+def sox_noise(source: Column, slow: float = 0.1, low: int = 7000, high: int = 1, gain: float = -4) -> Column:
+    """Band-passed noise whose loudness follows slow noise, as long as the source."""
+    return F.concat(F.lit("sox "), source, F.lit(f" -p synth whitenoise lowpass {slow} synth whitenoise amod gain -n {gain} sinc {high}-{low}"))
+
+
+def sox_factor(source: Column, low: float = 1, gain: float = -9) -> Column:
+    """A slowly changing factor: quiet slow noise upon a constant of a half."""
+    return F.concat(F.lit("sox -m <(sox "), source, F.lit(f" -p synth whitenoise lowpass {low} gain -n {gain}) <(sox "), source, F.lit(" -p gain -90 dcshift 0.5) -p"))
+
+
+def sox_product(a: Column, b: Column) -> Column:
+    return F.concat(F.lit("sox -T <("), a, F.lit(") <("), b, F.lit(") -p"))
+
+
+def sox_varying_gain(source: Column, low: float = 1, gain: float = -6) -> Column:
+    return sox_product(sox_factor(source, low, gain), F.concat(F.lit("sox "), source, F.lit(" -p ")))
+
+
+def sox_sum(signals: list[Column], target: Column, as_long_as: Column | None = None) -> Column:
+    """Signals added and written in 16 bits; cut to the length of a file if one is named."""
+    parts = F.concat_ws(" ", *(F.concat(F.lit("<("), s, F.lit(")")) for s in signals))
+    whole = F.concat(F.lit("sox -m "), parts, F.lit(" -b 16 "), target)
+    return whole if as_long_as is None else F.concat(whole, F.lit(" trim 0 $(soxi -D "), as_long_as, F.lit(")"))
+
+
+def sox_transcode(source: Column, target: Column, codec: Column) -> Column:
+    """Through an old telephone's codec: ``g711``, or a mode (0 to 7) of ``amr-nb``; others are null."""
+    amr = F.concat(F.lit("sox "), source, F.lit(" -V0 -C "), codec, F.lit(" -t amr-nb - | sox -t amr-nb - -V0 -b 16 -r 16000 "), target)
+    law = F.concat(F.lit("sox "), source, F.lit(" -V0  -r 8000 -c 1 -e a-law "), target)
+    return F.when(codec == "g711", law).when(codec.rlike("^[0-7]$"), amr)
+
+
 def drop_newlines(c: Column, by: str = "") -> Column:
     """Line feeds and carriage returns replaced."""
     return F.regexp_replace(c, "[\\n\\r]", by)

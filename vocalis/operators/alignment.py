@@ -81,9 +81,14 @@ def edit_kind(pair: Column, eps: str = "*") -> Column:
     return F.when(pair["ref"] == eps, "ins").when(pair["hyp"] == eps, "del").when(pair["ref"] == pair["hyp"], "cor").otherwise("sub")
 
 
+def edit_sign(pair: Column, eps: str = "*") -> Column:
+    kind = edit_kind(pair, eps)
+    return F.when(kind == "cor", "c").when(kind == "sub", "s").when(kind == "ins", "+").otherwise("-")
+
+
 def edit_symbols(pairs: Column) -> Column:
     """One sign for each pair: c, s, + and -."""
-    return F.array_join(F.transform(pairs, lambda p: F.when(edit_kind(p) == "cor", "c").when(edit_kind(p) == "sub", "s").when(edit_kind(p) == "ins", "+").otherwise("-")), "")
+    return F.array_join(F.transform(pairs, edit_sign), "")
 
 
 def aligned_ngrams(pairs: Column, order: int) -> Column:
@@ -129,6 +134,37 @@ def align_lines(ref: pd.Series, hyp: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def padded_lines(pairs: Column, eps: str = "*") -> Column:
+    """Three lines of an alignment that stand below each other: reference, kinds of edits, hypothesis.
+
+    Both tokens of a pair are filled with ``eps`` to the longer one's length; the sign of the edit stands once for each letter of the hypothesis (of the
+    reference in a deletion).
+    """
+    bare = lambda c: F.when(c == eps, "").otherwise(c)
+
+    def column(p: Column) -> Column:
+        ref, hyp = bare(p["ref"]), bare(p["hyp"])
+        width = F.greatest(F.length(ref), F.length(hyp))
+        signs = F.repeat(edit_sign(p, eps), F.when(hyp == "", F.length(ref)).otherwise(F.length(hyp)))
+        return F.struct(F.rpad(ref, width, F.lit(eps)).alias("ref"), F.rpad(signs, width, F.lit(" ")).alias("edits"), F.rpad(hyp, width, F.lit(eps)).alias("hyp"))
+
+    three = F.transform(pairs, column)
+    line = lambda name: F.array_join(F.transform(three, lambda x: x[name]), "").alias(name)
+    return F.struct(line("ref"), line("edits"), line("hyp"))
+
+
+@arrow_function("array<struct<ref:string,hyp:string>>")
+def align_groups(ref: pd.Series, hyp: pd.Series, n: pd.Series) -> pd.Series:
+    """An aligned pair of texts, with gaps, in lines of fewer than ``n`` characters each."""
+    out = []
+    for r, h, k in zip(ref, hyp, n, strict=True):
+        _, pairs = align(list(r or ""), list(h or ""))
+        step = max(1, int(k) - 1)
+        parts = [pairs[i : i + step] for i in range(0, len(pairs), step)]
+        out.append([{"ref": "".join(p[0] for p in part), "hyp": "".join(p[1] for p in part)} for part in parts])
+    return pd.Series(out)
+
+
 @arrow_function("array<struct<a:int,b:int,size:int>>")
 def matching_blocks(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []

@@ -25,6 +25,20 @@ def ctc_greedy(frames: DataFrame, keys: list[str], frame: str, logits: str, voca
     return out.select(*keys, F.coalesce(F.array_join(F.transform("o", lambda x: x["c"]), ""), F.lit(" ")).alias("text"), F.coalesce(F.transform("o", lambda x: x["frame"].cast("long")), F.array(F.lit(0).cast("long"))).alias("frames"))
 
 
+def decode_ids(ids: Column, vocab: list[str], pad: int = 0, grouped: bool = True, delimiter: str = "|") -> Column:
+    """Token ids to a text: repeats count once if ``grouped``; padding, unknown and ignored (negative) ids go, delimiters are spaces at which ends are trimmed."""
+    first = lambda x, i: x != F.coalesce(F.get(ids, i - 1), F.lit(-1))
+    kept = F.filter(ids, lambda x, i: first(x, i) & (x != pad)) if grouped else F.filter(ids, lambda x: x != pad)
+    symbols = F.array(*[F.lit(" " if v == delimiter else v) for v in vocab])
+    return F.trim(F.array_join(F.transform(kept, lambda x: F.get(symbols, F.when(x >= 0, x).cast("int"))), ""))
+
+
+def evaluated(df: DataFrame, scores: str, labels: str, vocab: list[str], pad: int = 0, delimiter: str = "|") -> DataFrame:
+    """``prediction`` and ``reference`` of a batch: the best token of each row of ``scores``, repeats collapsed, against label ids, repeats kept."""
+    best = F.transform(scores, lambda x: arg_max(x).cast("int"))
+    return df.withColumns({"prediction": decode_ids(best, vocab, pad, True, delimiter), "reference": decode_ids(F.col(labels), vocab, pad, False, delimiter)})
+
+
 def beam_search(logp: list[list[float]], vocab: list[str], blank: int, width: int, lm: dict[tuple[str, ...], tuple[float, float]] | None, alpha: float, beta: float, unknown: float = -10.0) -> list[tuple[str, float]]:
     """Prefix beam search; at each word's end the language model's log10 probability and a word bonus are added."""
 

@@ -8,8 +8,13 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vocalis.functions import arrays as R
+from vocalis.functions import text as T
 from vocalis.operators import perturb as P
-from vocalis.plans.tables import VECTORS_SQL, vectors
+from vocalis.operators.alignment import align_characters, padded_lines, whole_distance
+from vocalis.operators.decoding import evaluated
+from vocalis.operators.training import IGNORED
+from vocalis.plans.signal_queries import VOCAB, frames
+from vocalis.plans.tables import VECTORS_SQL, read, vectors
 from vocalis.sources import audio as A
 from vocalis.sources.formats import encode_wav
 from vocalis.streaming.voice import voice_batch
@@ -48,7 +53,33 @@ def _perturbed(s, d):
     return vectors(s, d).select("vec_id", p.alias("p")).select("vec_id", F.size("p.samples").alias("n"), F.array_join("p.applied", ",").alias("applied"), "p.tries", "p.error", F.round(F.aggregate("p.samples", F.lit(0.0), lambda a, v: a + v * v), 4).alias("energy"))
 
 
+def _voiced(s, d):
+    """Two spans in each vector, as a piece of 8 Hz that begins where its place in the message says."""
+    spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0.5, 2.0), (3.25, 3.5))))
+    cut = R.voice_slices(F.col("x"), (F.col("vec_id") % 20).cast("double") * 8, spans, 8)
+    return vectors(s, d).select("vec_id", F.inline(cut)).select("vec_id", "start", "end", F.size("samples").alias("n"), F.get("samples", F.lit(0)).alias("first"))
+
+
+def _evaluated(s, d):
+    """The 20 frames of a message against every second of its best tokens, padded with ignored ids."""
+    rows = frames(s, d).groupBy("msg").agg(F.array_sort(F.collect_list(F.struct("frame", "x"))).alias("f")).select("msg", F.transform("f", lambda r: r["x"]).alias("scores"))
+    labels = F.transform("scores", lambda x, i: F.when(i % 2 == 0, R.arg_max(x).cast("int")).otherwise(IGNORED))
+    e = evaluated(rows.withColumn("labels", labels), "scores", "labels", VOCAB)
+    return e.select("msg", "prediction", "reference", whole_distance(F.col("reference"), F.col("prediction")).alias("edits"))
+
+
+def _commands(s, d):
+    f = F.col("file")
+    noise = T.sox_noise(f, 0.5, 4000, 100)
+    steps = {"pert": T.sox_part(T.sox_varying_gain(f), tempo=0.9, reverb=(30, 50), gain_n=-3.0), "noise": noise, "total": T.sox_sum([noise, T.sox_part(f, pitch=-20)], F.lit("out.wav"), f), "phone": T.sox_transcode(f, F.lit("out.wav"), F.when(F.col("page_id") % 2 == 0, "g711").otherwise((F.col("page_id") % 10).cast("string")))}
+    return read(s, d, "pages").withColumn("file", F.concat(F.lit("a"), F.col("page_id").cast("string"), F.lit(".wav"))).select("page_id", *(c.alias(k) for k, c in steps.items()))
+
+
 QUERIES = {
+    "voice_slices": _voiced,
+    "ctc_evaluated": _evaluated,
+    "sox_chains": _commands,
+    "padded_lines": lambda s, d: read(s, d, "benchmark").select("item_id", align_characters(F.col("text"), F.translate("text", "aeiou", "eiou")).alias("a")).select("item_id", padded_lines(F.col("a.pairs")).alias("p")).select("item_id", "p.*"),
     "voice_stream": lambda s, d: voice_batch(_pieces(s, d), _energy, FRAME, 2, LEAST),
     "resample_signals": _resampled,
     "decode_parts": _decoded,
@@ -58,7 +89,16 @@ QUERIES = {
 _CUT = A.ROLLOFF
 _HALF = math.ceil(A.CROSSINGS / _CUT)
 _T = f"({_CUT}::double * (j*2/3.0::double - k))"
+_SYMBOLS = "[" + ",".join("'" + (" " if v == "|" else v.replace("'", "''")) + "'" for v in VOCAB) + "]"
+_VARY = "'sox -T <(sox -m <(sox ' || f || ' -p synth whitenoise lowpass 1 gain -n -6) <(sox ' || f || ' -p gain -90 dcshift 0.5) -p) <(sox ' || f || ' -p ) -p'"
+_NOISE = "'sox ' || f || ' -p synth whitenoise lowpass 0.5 synth whitenoise amod gain -n -4 sinc 100-4000'"
 ORACLE = {
+    "voice_slices": f"select vec_id, (vec_id % 20)*8.0::double + a as start, (vec_id % 20)*8.0::double + b as \"end\", cast(n as integer) as n, x[i] as first from {VECTORS_SQL}, (values (0.5::double, 2.0::double, 12, 5), (3.25::double, 3.5::double, 2, 27)) c(a, b, n, i)",
+    "ctc_evaluated": f"""with f as (select vec_id // 20 as msg, vec_id % 20 as frame, list_position(embedding, list_max(embedding)) - 1 as id from embeddings),
+ r as (select *, lag(id) over (partition by msg order by frame) as b, row_number() over (partition by msg order by frame) - 1 as i from f),
+ t as (select msg, trim(coalesce(string_agg(({_SYMBOLS})[id+1], '' order by frame) filter (where id <> 0 and (b is null or b <> id)), ''), ' ') as prediction, trim(coalesce(string_agg(({_SYMBOLS})[id+1], '' order by frame) filter (where id <> 0 and i % 2 = 0), ''), ' ') as reference from r group by msg)
+ select *, cast(levenshtein(reference, prediction) as integer) as edits from t""",
+    "sox_chains": f"select page_id, 'sox <(' || {_VARY} || ') -p tempo 0.9 reverb 30 50 gain -n -3.0' as pert, {_NOISE} as noise, 'sox -m <(' || {_NOISE} || ') <(sox ' || f || ' -p pitch -20) -b 16 out.wav trim 0 $(soxi -D ' || f || ')' as total, case when page_id % 2 = 0 then 'sox ' || f || ' -V0  -r 8000 -c 1 -e a-law out.wav' when page_id % 10 < 8 then 'sox ' || f || ' -V0 -C ' || page_id % 10 || ' -t amr-nb - | sox -t amr-nb - -V0 -b 16 -r 16000 out.wav' end as phone from (select page_id, 'a' || page_id || '.wav' as f from pages)",
     "voice_stream": f"""with recursive s as (select vec_id // 20 as msg, (vec_id % 20)*64 + i - 1 as p, x[i] as v from {VECTORS_SQL}, lateral (select unnest(generate_series(1, len(x))) as i)),
  f as (select msg, p // {FRAME} as k, sum(v*v) as e, count(*) as n from s group by all),
  g as (select msg, k, n, e + coalesce(lag(e) over (partition by msg order by k), 0) >= {LEAST} as voiced, max(k) over (partition by msg) as last from f),
