@@ -67,13 +67,14 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Iter
         yield pa.Table.from_batches(held)
 
 
-def deal_blocks(rows: DataFrame, keys: list[str], id_col: str, n: int, chunk: int = 256, left: str | None = None) -> DataFrame:
+def deal_blocks(rows: DataFrame, keys: list[str], id_col: str, n: int, chunk: int = 256, left: str | None = None, attach: DataFrame | None = None) -> DataFrame:
     """Deal the rows of each group to the blocks of its pairs of chunks, sorted by block.
 
     Adds ``ca`` and ``cb``, the block, and ``side``: 0 for a row of chunk ``ca``, 1 for one of ``cb``.
     In a block with ``ca = cb`` each row comes once, with side 0. With ``left``, the name of a boolean
     column, only blocks with such rows in chunk ``ca`` are made: ``ca`` counts the chunks of those rows
     alone, ``cb`` the chunks of all rows; a group of one chunk comes once, its left rows with side 2 (both).
+    ``attach`` has wide columns of each ``id_col`` (one row of an id); they follow behind the others, and only rows of blocks carry them.
     """
     counts = [F.count(F.lit(1)).alias("group_rows")] + ([F.sum(F.col(left).cast("long")).alias("left_rows")] if left else [])
     sized = rows.join(rows.groupBy(*keys).agg(*counts), keys).withColumn("nb", F.ceil(F.col("group_rows") / chunk).cast("int"))
@@ -90,6 +91,8 @@ def deal_blocks(rows: DataFrame, keys: list[str], id_col: str, n: int, chunk: in
         dealt = sized.select(*rows.columns, F.explode(F.when(F.col("nb") == 1, alone).when(F.col(left), F.concat(as_left, as_right)).otherwise(as_right)).alias("b"))
     rest = [c for c in rows.columns if c not in keys]
     dealt = dealt.select(*keys, "b.ca", "b.cb", "b.side", *rest)
+    if attach is not None:
+        dealt = dealt.join(attach, id_col).select(*dealt.columns, *(c for c in attach.columns if c != id_col))
     order = [*keys, "ca", "cb"]
     return dealt.repartition(n, *order).sortWithinPartitions(*order)
 

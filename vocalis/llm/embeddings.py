@@ -9,7 +9,7 @@ forest of its links only.
 
 Vectors without a label, null, empty or zero vectors and those with null or non-finite components link
 with nothing. Vectors of different lengths do not link. A null id takes no part and is its own result
-(its component is null). Rows that repeat an id are vectors of their own with one id. A table without rows gives none.
+(its component is null). Rows that repeat an id are vectors of their own, with links of their own and one component. A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ from vocalis.llm.components import connected_components
 from vocalis.llm.workspace import Workspace, partitions
 
 
+#: Vectors of a chunk; a block of two chunks fills this number squared of doubles.
+CHUNK = 1024
+
+
 def table_plan(largest: int, threshold: float, recall: float, per_bucket: int = 64) -> tuple[int, int]:
     """Bits of a table and tables, for the largest label's number of vectors."""
     same = 1 - math.acos(threshold) / math.pi
@@ -41,6 +45,12 @@ def signs(vectors: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
     return (on * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
 
 
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in double precision, without overflow on the way."""
+    m = m / np.abs(m).max(axis=1, keepdims=True)
+    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+
 def near_embeddings(df: DataFrame, threshold: float = 0.93, recall: float = 0.9995, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every vector."""
     spark = df.sparkSession
@@ -50,30 +60,29 @@ def near_embeddings(df: DataFrame, threshold: float = 0.93, recall: float = 0.99
     fine = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(F.size(v) > 0, F.lit(False)) & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), v.alias("vec"), fine.alias("fine"))
     good = rows.filter("fine").select("vec_id", "label", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(7), "vec").alias("h2"))
-    classes = space.table(good.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("vec").alias("vec")), "classes")
-    members = good.select("vec_id", "label", "h1", "h2").join(classes.select("label", "h1", "h2", "rep", "copies"), ["label", "h1", "h2"]).select("vec_id", "rep", "copies")
+    classes = space.table(good.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("vec").alias("vec")).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    members = good.select("vec_id", "label", "h1", "h2").join(classes.select("label", "h1", "h2", "cls", "copies"), ["label", "h1", "h2"]).select("vec_id", "cls", "copies")
     largest = classes.groupBy("label").count().agg(F.max("count").alias("n")).first()["n"] or 0
     bits, tables = table_plan(largest, threshold, recall)
+    # vectors travel as they came: floats stay floats, and become unit vectors where they are compared
+    kind = "<f4" if df.schema[vector_col].dataType.elementType.typeName() == "float" else "<f8"
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.asarray(x, np.float64) for x in batch.column(3).to_pylist()]
             codes: list[bytes] = [b""] * len(found)
-            unit: list[bytes] = [b""] * len(found)
+            raw = [x.astype(kind).tobytes() for x in found]
             for size in {len(x) for x in found}:
                 at = [i for i, x in enumerate(found) if len(x) == size]
-                m = np.stack([found[i] for i in at])
-                m /= np.abs(m).max(axis=1, keepdims=True)
-                m /= np.sqrt((m * m).sum(axis=1, keepdims=True))
-                c = signs(m, bits, tables, seed).astype("<u4")
+                c = signs(unit_rows(np.stack([found[i] for i in at])), bits, tables, seed).astype("<u4")
                 for k, i in enumerate(at):
-                    codes[i], unit[i] = c[k].tobytes(), m[k].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([len(x) for x in found], pa.int32()), pa.array(codes, pa.binary()), pa.array(unit, pa.binary()), pa.array([np.frombuffer(c, "<u4").tolist() for c in codes], pa.list_(pa.int64()))], names=["label", "rep", "copies", "dim", "codes", "unit", "buckets"])
+                    codes[i] = c[k].tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(4), pa.array([len(x) for x in found], pa.int32()), pa.array(codes, pa.binary()), pa.array(raw, pa.binary()), pa.array([np.frombuffer(c, "<u4").tolist() for c in codes], pa.list_(pa.int64()))], names=["label", "rep", "copies", "cls", "dim", "codes", "raw", "buckets"])
 
     label_type = df.schema[label_col].dataType.simpleString()
-    coded = classes.select("label", "rep", "copies", "vec").mapInArrow(hashed, f"label {label_type}, rep long, copies long, dim int, codes binary, unit binary, buckets array<long>")
-    placed = coded.select("label", "dim", "rep", "copies", "codes", "unit", F.posexplode("buckets").alias("t", "bucket"))
-    blocks = deal_blocks(placed.select("label", "dim", "t", "bucket", "rep", "copies", "codes", "unit"), ["label", "dim", "t", "bucket"], "rep", n)
+    coded = space.table(classes.select("label", "rep", "copies", "vec", "cls").mapInArrow(hashed, f"label {label_type}, rep long, copies long, cls long, dim int, codes binary, raw binary, buckets array<long>"), "coded")
+    placed = coded.select("label", "dim", "cls", F.posexplode("buckets").alias("t", "bucket"))
+    blocks = deal_blocks(placed.select("label", "dim", "t", "bucket", "cls"), ["label", "dim", "t", "bucket"], "cls", n, CHUNK, attach=coded.select("cls", "rep", "copies", "codes", "raw"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], []]
@@ -87,9 +96,9 @@ def near_embeddings(df: DataFrame, threshold: float = 0.93, recall: float = 0.99
         for group in sorted_groups(batches, 6):
             t, ca, cb = (group.column(k)[0].as_py() for k in (2, 4, 5))
             side = group.column(6).to_numpy()
-            rep, copies = group.column(7).to_numpy(), group.column(8).to_numpy()
-            codes = np.frombuffer(b"".join(group.column(9).to_pylist()), "<u4").reshape(len(rep), tables)
-            unit = np.frombuffer(b"".join(group.column(10).to_pylist()), np.float64).reshape(len(rep), -1)
+            cls, rep, copies = group.column(7).to_numpy(), group.column(8).to_numpy(), group.column(9).to_numpy()
+            codes = np.frombuffer(b"".join(group.column(10).to_pylist()), "<u4").reshape(len(rep), tables)
+            unit = unit_rows(np.frombuffer(b"".join(group.column(11).to_pylist()), kind).reshape(len(rep), -1).astype(np.float64))
             a = np.flatnonzero(side == 0)
             b = a if ca == cb else np.flatnonzero(side == 1)
             if not len(a) or not len(b):
@@ -105,7 +114,7 @@ def near_embeddings(df: DataFrame, threshold: float = 0.93, recall: float = 0.99
                 continue
             links = np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
             for k in np.flatnonzero(links):
-                for c, x in zip(out, (int(rep[k]), int(links[k]), None), strict=True):
+                for c, x in zip(out, (int(cls[k]), int(links[k]), None), strict=True):
                     c.append(x)
             forest = Forest(len(rep))
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
@@ -117,9 +126,10 @@ def near_embeddings(df: DataFrame, threshold: float = 0.93, recall: float = 0.99
         yield take()
 
     found = space.table(blocks.mapInArrow(compare, "node long, n long, other long"), "found")
-    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
-    parts = connected_components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), space)
-    per_rep = classes.select("rep").join(counts, F.col("rep") == F.col("node"), "left").drop("node").join(parts, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("component"))
-    linked = members.join(per_rep, "rep").select("vec_id", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id"))
+    # counts are of classes, links to components between ids
+    counts = found.filter("other is null").groupBy("node").agg(F.sum("n").alias("n"))
+    parts = connected_components(found.filter("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")), space)
+    per_class = classes.select("cls", "rep").join(counts, F.col("cls") == F.col("node"), "left").drop("node").join(parts, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("component"))
+    linked = members.join(per_class, "cls").select("vec_id", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id"))
     alone = rows.filter(~F.col("fine")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
