@@ -85,3 +85,12 @@ def test_rates_of_odd_rows(spark):
     cer = {r.k: r for r in A.cer(df, "r", "h", ["k"]).collect()}
     assert (cer["k"].errors, cer["k"].ref_chars) == (4, 5) and (cer[None].errors, cer[None].ref_chars) == (2, 3)
     assert A.cer(df.limit(0), "r", "h", ["k"]).collect() == []
+
+
+def test_edit_symbols_of_texts_with_stars(spark):
+    from vocalis.operators.alignment import align_characters, edit_symbols
+
+    rows = [(0, "the cat", "the cat"), (1, "abcdef", "abxdf"), (2, "a*b", "a*b"), (3, "a*b", "axb"), (4, "axb", "a*b"), (5, "abc", ""), (6, None, "ab"), (7, "ab", "aTb")]
+    df = spark.createDataFrame(rows, "i int, r string, h string").select("i", align_characters("r", "h").alias("a"))
+    got = {r.i: r.e for r in df.select("i", edit_symbols(df["a.pairs"]).alias("e")).collect()}
+    assert got == {0: "ccccccc", 1: "ccsc-c", 2: "ccc", 3: "csc", 4: "csc", 5: "---", 6: "++", 7: "c+c"}
