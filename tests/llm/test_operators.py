@@ -465,3 +465,50 @@ def test_near_passages_behind_smaller_documents_that_are_less_alike(spark):
         got = {r.doc_id: [(s.start, s.end) for s in r.repeated] for r in substring.near_duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
         found = sum(any(a <= at + 2 and b >= at + 58 for a, b in got[i]) for i, at in where.items())
         assert found >= 57, (versions, found)
+
+
+def test_near_passages_between_many_documents_that_are_less_alike(spark):
+    """The one alike document is neither the smallest nor among the last before: 12 less alike ones stand before it, 12 behind."""
+    rng, vocab = random.Random(77), [f"w{i}" for i in range(20000)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    docs, where = [], {}
+    for i in range(40):
+        p = some(60)
+        for k in range(24):
+            q = list(p)
+            for x in rng.sample(range(60), 5):
+                q[x] = f"v{k}"
+            docs.append((1000 * i + k + (0 if k < 12 else 200_000), " ".join([*some(30), *q, *some(30)])))
+        q = list(p)
+        q[rng.randrange(25, 35)] = "zzz"
+        before = some(rng.randrange(20, 90))
+        docs += [(100_000 + i, " ".join([*some(40), *p, *some(40)])), (300_000 + i, " ".join([*before, *q, *some(40)]))]
+        where[300_000 + i] = len(before)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.repeated] for r in substring.near_duplicate_passages(df).collect()}
+    assert sum(any(a <= at + 2 and b >= at + 58 for a, b in got[i]) for i, at in where.items()) >= 39
+
+
+def test_alike_parts_of_many_stretches():
+    """Against all pairs of stretches; some parts have more than 64 of them."""
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 3, 40, 300, 700):
+        for _ in range(20):
+            at = np.cumsum(rng.choice([1, 1, 1, 1, 1, 2, 3], n)) + 10
+            place = np.cumsum(rng.choice([1, 1, 1, 1, 1, 1, 2, 6 if rng.random() < 0.5 else 1], n))
+            if n > 50 and rng.random() < 0.5:
+                place = np.roll(place, 17)
+            edge = np.flatnonzero((np.diff(at) != 1) | (np.diff(place) != 1)) + 1
+            first, last = np.r_[0, edge], np.r_[edge, len(at)] - 1
+            pairs = [(a, b) for a, b in zip(first, last, strict=True) if b - a >= 2]
+            want = set()
+            for i in range(len(pairs)):
+                both = 0
+                for j in range(i, len(pairs)):
+                    (a, _), (x, b) = pairs[i], pairs[j]
+                    both += b - x + 1
+                    mine, theirs = at[b] - at[a] + 1, place[b] - place[a] + 1
+                    if mine + 4 > 50 and theirs >= both >= 0.8 * (mine + theirs - both):
+                        want.add((int(at[a]), int(at[b])))
+            got = list(substring._alike_parts(at, place, 50, 0.8))
+            assert set(got) <= want and substring.merge_spans(got) == substring.merge_spans(list(want))
