@@ -512,3 +512,25 @@ def test_alike_parts_of_many_stretches():
                         want.add((int(at[a]), int(at[b])))
             got = list(substring._alike_parts(at, place, 50, 0.8))
             assert set(got) <= want and substring.merge_spans(got) == substring.merge_spans(list(want))
+
+
+def test_merges_look_up_pairs_beside_them_only():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+    own = bpe.ForcedBoundaryBPE(read_tokenizer(BYTE))
+    own.ranks = Counted(own.ranks)
+    merged = own._merge(list("internationalizations"))
+    assert "".join(merged) == "internationalizations" and own.ranks.asked <= 3 * 21
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_pieces_go_to_the_model_as_they_are(path):
+    """Pieces are normalised and split already; doing so again took most of the time of op2 and op9."""
+    own, lib = LibraryEncoder(read_tokenizer(path)), Tokenizer.from_file(path)
+    assert own._encode("AB") != own._encode("ab") and unsigned(own._encode("ab")) == lib.encode("ab", add_special_tokens=False).ids
+    assert unsigned(own._encode("ab cd")) == [t.id for t in lib.model.tokenize("abĠcd")]

@@ -19,7 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocalis.llm.pretokens import TABLE, Splitter, byte_letters, encoder, read_tokenizer
+from vocalis.llm.pretokens import STAND_INS, TABLE, Splitter, byte_letters, encoder, read_tokenizer
+
+#: A rank behind those of all merges.
+NONE = 1 << 30
 
 
 class ForcedBoundaryBPE:
@@ -36,7 +39,7 @@ class ForcedBoundaryBPE:
         self.letters = byte_letters()
         self.bytes = {c: b for b, c in enumerate(self.letters)}
         self.byte_level = (spec["decoder"] or {}).get("type") == "ByteLevel"
-        self.inside = {t[i : i + 2] for t in map(self._bare, self.vocab) for i in range(len(t) - 1)}
+        self.inside = {(t[i], t[i + 1]) for t in map(self._bare, self.vocab) for i in range(len(t) - 1)}
         self._pieces: dict[str, tuple[bytes, str]] = {}
         self._fragments: dict[str, tuple[int, ...]] = {}
 
@@ -45,23 +48,25 @@ class ForcedBoundaryBPE:
 
     def cuts(self, letters: str) -> list[str]:
         """The fragments of a piece between its forced boundaries."""
-        out, start = [], 0
-        for i in range(1, len(letters)):
-            if letters[i - 1 : i + 1] not in self.inside:
-                out.append(letters[start:i])
-                start = i
-        out.append(letters[start:])
-        return out
+        inside = self.inside
+        at = [i for i, pair in enumerate(zip(letters, letters[1:], strict=False), 1) if pair not in inside]
+        return [letters[a:b] for a, b in zip([0, *at], [*at, len(letters)], strict=True)] if at else [letters]
 
     def _merge(self, symbols: list[str]) -> list[str]:
         """Apply the merges of lowest rank first, the leftmost of equals first."""
         ranks = self.ranks
         if len(symbols) < 24:
-            while len(symbols) > 1:
-                best, at = min((ranks.get(p, 1 << 30), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
-                if best == 1 << 30:
-                    break
+            # only the pairs beside a merge get a new rank
+            rank = ranks.get
+            found = [rank(p, NONE) for p in zip(symbols, symbols[1:], strict=False)]
+            while found and (best := min(found)) < NONE:
+                at = found.index(best)
                 symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+                del found[at]
+                if at:
+                    found[at - 1] = rank((symbols[at - 1], symbols[at]), NONE)
+                if at < len(found):
+                    found[at] = rank((symbols[at], symbols[at + 1]), NONE)
             return symbols
         after = [*range(1, len(symbols)), -1]
         before = [-1, *range(len(symbols) - 1)]
@@ -95,7 +100,7 @@ class ForcedBoundaryBPE:
     def ids(self, piece: str) -> list[int]:
         if piece in self.splitter.special:
             return [self.splitter.special[piece]]
-        letters = "".join(map(self.letters.__getitem__, piece.encode()))
+        letters = piece.encode().decode("latin-1").translate(STAND_INS)
         parts = self.cuts(letters)
         return [i for k, part in enumerate(parts) for i in self._fragment(part, k + 1 == len(parts))]
 

@@ -119,8 +119,12 @@ def byte_letters() -> list[str]:
     return letters
 
 
+#: Bytes, read as Latin-1, to their stand-ins.
+STAND_INS = dict(enumerate(byte_letters()))
+
+
 class LibraryEncoder:
-    """Ids by the ``tokenizers`` library, which sees each distinct piece once."""
+    """Ids by the model of the ``tokenizers`` library, which sees each distinct piece once; pieces are normalised and split already."""
 
     def __init__(self, content: str):
         import os
@@ -129,13 +133,14 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.splitter = Splitter(content)
-        self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
+        self.model = Tokenizer.from_str(content).model
         self.ids = _Pieces(self._encode)
 
     def _encode(self, piece: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        if piece in self.splitter.special:
+            return self.splitter.special[piece].to_bytes(4, "little")
+        letters = piece.encode().decode("latin-1").translate(STAND_INS)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
