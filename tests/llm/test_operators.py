@@ -534,3 +534,19 @@ def test_pieces_go_to_the_model_as_they_are(path):
     own, lib = LibraryEncoder(read_tokenizer(path)), Tokenizer.from_file(path)
     assert own._encode("AB") != own._encode("ab") and unsigned(own._encode("ab")) == lib.encode("ab", add_special_tokens=False).ids
     assert unsigned(own._encode("ab cd")) == [t.id for t in lib.model.tokenize("abĠcd")]
+
+
+def test_the_fit_holds_few_texts_at_once():
+    """The driver's memory of the fit: n-grams of all pairs of text and word are not there at once."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(3, 10))) for _ in range(5000)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(400)) for _ in range(400)]
+    y = np.arange(400) % 2
+    tracemalloc.start()
+    doc, gram, weight = toxicity._design(texts, y, toxicity.ToxicityParams(min_z=0.0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(doc) == len(gram) == len(weight) > 400 * 400
+    assert peak < 100e6, peak

@@ -25,10 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vocalis.llm.memory import give_back
+
 #: Letters and digits, with signs inside that misspellings put for letters.
 WORD = re.compile(r"[^\W_]+(?:['’*@$!_-]+[^\W_]+)*")
 #: Letters of a word whose n-grams are held at once.
 STRETCH = 20_000
+#: Texts of the fit whose n-grams are worked out at once.
+AT_ONCE = 25
 
 
 @dataclass(frozen=True)
@@ -100,9 +104,10 @@ def _design(texts: list[str], y: np.ndarray, p: ToxicityParams) -> tuple[np.ndar
     vocab: dict[str, int] = {}
     grams, ends = array("l"), array("l", [0])
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for first in range(0, len(texts), 200):
+    bad, good = np.zeros(p.buckets), np.zeros(p.buckets)
+    for first in range(0, len(texts), AT_ONCE):
         doc, word = array("l"), array("l")
-        for i, t in enumerate(texts[first : first + 200]):
+        for i, t in enumerate(texts[first : first + AT_ONCE]):
             for w in WORD.findall((t or "").lower()):
                 if w not in vocab:
                     vocab[w] = len(vocab)
@@ -111,23 +116,30 @@ def _design(texts: list[str], y: np.ndarray, p: ToxicityParams) -> tuple[np.ndar
                 doc.append(i)
                 word.append(vocab[w])
         d, w = np.array(doc, np.int64), np.array(word, np.int64)
-        size = np.bincount(d, minlength=200)
+        size = np.bincount(d, minlength=AT_ONCE)
         pair, times = np.unique(d * max(1, len(vocab)) + w, return_counts=True)
         d, w = pair // max(1, len(vocab)), pair % max(1, len(vocab))
-        edge = np.frombuffer(ends, np.int64).copy()
-        n = np.diff(edge)[w]
+        edge = np.frombuffer(ends, np.int64)
+        n = edge[w + 1] - edge[w]
         at = np.repeat(edge[w] - np.cumsum(n) + n, n) + np.arange(n.sum())
         cell = np.repeat(d, n) * p.buckets + np.frombuffer(grams, np.int64)[at]
+        del edge, at
         cell, where = np.unique(cell, return_inverse=True)
         weight = np.bincount(where, np.repeat(times / size[d] / n, n), len(cell))
-        parts.append(((first + cell // p.buckets).astype(np.int32), (cell % p.buckets).astype(np.int32), weight.astype(np.float32)))
-    doc, gram, weight = (np.concatenate([x[k] for x in parts]) for k in range(3))
-    bad = np.bincount(gram, y[doc], p.buckets)
-    good = np.bincount(gram, 1 - y[doc], p.buckets)
+        d, gram = (first + cell // p.buckets).astype(np.int32), (cell % p.buckets).astype(np.int32)
+        bad += np.bincount(gram, y[d], p.buckets)
+        good += np.bincount(gram, 1 - y[d], p.buckets)
+        parts.append((d, gram, weight.astype(np.float32)))
+    del vocab, grams, ends
     odds = np.log((bad + 0.5) / (y.sum() - bad + 0.5)) - np.log((good + 0.5) / ((1 - y).sum() - good + 0.5))
     spread = np.sqrt(1 / (bad + 0.5) + 1 / (y.sum() - bad + 0.5) + 1 / (good + 0.5) + 1 / ((1 - y).sum() - good + 0.5))
-    keep = ((bad + good >= p.min_docs) & (np.abs(odds) >= p.min_z * spread))[gram]
-    return doc[keep], gram[keep], weight[keep]
+    keep = (bad + good >= p.min_docs) & (np.abs(odds) >= p.min_z * spread)
+    # block by block, so that what is left out is never held twice
+    for k, part in enumerate(parts):
+        mine = keep[part[1]]
+        parts[k] = tuple(x[mine] for x in part)
+    doc, gram, weight = (np.concatenate([x[k] for x in parts]) for k in range(3))
+    return doc, gram, weight
 
 
 def train(texts: list[str], labels: list[int], weights: list[float], p: ToxicityParams) -> ToxicityModel:
@@ -185,14 +197,18 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, params: ToxicityParams
     short = documents.select("doc_id", "text").filter(F.length("text") <= p.max_row_chars)
     rows = short.join(F.broadcast(chosen), "doc_id").select("toxic", "text", order.alias("o"))
     picked, chars = [], 0
-    for r in rows.orderBy("o", "text").limit(4 * p.max_rows).collect():
+    for r in rows.orderBy("o", "text").limit(4 * p.max_rows).toLocalIterator():
         if chars + len(r["text"]) <= p.max_chars:
             picked.append(r)
             chars += len(r["text"])
     seen = {y: sum(r["toxic"] == y for r in picked) for y in (0, 1)}
     if not all(seen.values()):
         return ToxicityModel(p, None, 0.0)
-    return train([r["text"] for r in picked], [r["toxic"] for r in picked], [counts[r["toxic"]] / seen[r["toxic"]] for r in picked], p)
+    model = train([r["text"] for r in picked], [r["toxic"] for r in picked], [counts[r["toxic"]] / seen[r["toxic"]] for r in picked], p)
+    # the driver goes on with other stages
+    del picked
+    give_back()
+    return model
 
 
 def score_toxicity(documents: DataFrame, model: ToxicityModel, out: str = "toxicity", text_col: str = "text") -> DataFrame:
