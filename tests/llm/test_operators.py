@@ -550,3 +550,27 @@ def test_the_fit_holds_few_texts_at_once():
     tracemalloc.stop()
     assert len(doc) == len(gram) == len(weight) > 400 * 400
     assert peak < 100e6, peak
+
+
+def test_the_pipeline_cuts_passages_between_many_documents_that_are_less_alike(spark):
+    import corpus_pipeline
+
+    rng, vocab = random.Random(78), [f"w{i}" for i in range(20000)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    docs, late = [], {}
+    for i in range(10):
+        p = some(60)
+        for k in range(24):
+            q = list(p)
+            for x in rng.sample(range(60), 5):
+                q[x] = f"v{k}"
+            docs.append((1000 * i + k + (0 if k < 12 else 200_000), " ".join([*some(30), *q, *some(30)])))
+        q = list(p)
+        q[30] = "zzz"
+        before, after = some(50), some(40)
+        docs += [(100_000 + i, " ".join([*some(40), *p, *some(40)])), (300_000 + i, " ".join([*before, *q, *after]))]
+        late[300_000 + i] = 150
+    out = corpus_pipeline.cut_repeats(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert out.columns == ["doc_id", "text"]
+    left = {r.doc_id: len(r.text.split()) for r in out.collect()}
+    assert sum(left[i] <= n - 56 for i, n in late.items()) >= 9
