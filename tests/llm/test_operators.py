@@ -489,6 +489,19 @@ def test_near_passages_between_many_documents_that_are_less_alike(spark):
     assert sum(any(a <= at + 2 and b >= at + 58 for a, b in got[i]) for i, at in where.items()) >= 39
 
 
+def test_token_blocks_of_every_width_with_few_operations_on_single_bits(monkeypatch):
+    """All widths come back; unpacking makes no array of single bits."""
+    rng = np.random.default_rng(8)
+    files = []
+    for w in range(33):
+        ids = rng.integers(0, 1 << w, 1000, dtype=np.uint64).astype(np.uint32)
+        files.append((ids, *tokenfile.pack_blocks(ids, 1.0)))
+        assert files[-1][1]["width"].max() == w
+    monkeypatch.setattr(np, "unpackbits", None)
+    for ids, table, payload, extra in files:
+        assert (tokenfile.unpack_blocks(table, np.frombuffer(payload, np.uint8), extra)[: len(ids)] == ids).all()
+
+
 def test_alike_parts_of_many_stretches():
     """Against all pairs of stretches; some parts have more than 64 of them."""
     rng = np.random.default_rng(5)

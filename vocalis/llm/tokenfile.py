@@ -72,8 +72,10 @@ def pack_blocks(ids: np.ndarray, share: float = 0.9) -> tuple[np.ndarray, bytes,
         if w:
             rows = np.nonzero(width == w)[0]
             for part in np.array_split(rows, max(1, len(rows) // 4096)):
-                bits = (deltas[part][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-                packed = np.packbits(bits.astype(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+                # as bytes, of as many as the width needs; their low bits, one value behind the other
+                some = deltas[part].astype("<u2" if w <= 16 else "<u4")
+                bits = np.unpackbits(some.view(np.uint8).reshape(len(part), BLOCK, -1), axis=2, bitorder="little", count=w)
+                packed = np.packbits(bits.reshape(len(part), -1), axis=1, bitorder="little")
                 out[table["start"][part].astype(np.int64)[:, None] + np.arange(packed.shape[1])] = packed
     return table, out.tobytes(), extra
 
@@ -82,13 +84,18 @@ def unpack_blocks(table: np.ndarray, payload: np.ndarray, extra: np.ndarray) ->
     """The ids of whole blocks, the last one with its padding."""
     grid = np.zeros((len(table), BLOCK), np.uint32)
     width = table["width"].astype(np.int64)
-    for w in np.unique(width):
+    for w in np.unique(width).tolist():
         if w:
             rows = np.nonzero(width == w)[0]
+            # where each value begins, and a kind that holds all bytes it lies in
+            size, kind = w * BLOCK // 8, np.uint32 if w <= 25 else np.uint64
+            byte, bit = np.divmod(np.arange(BLOCK) * w, 8)
             for part in np.array_split(rows, max(1, len(rows) // 4096)):
-                packed = payload[table["start"][part].astype(np.int64)[:, None] + np.arange(w * BLOCK // 8)]
-                bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(part), BLOCK, w)
-                grid[part] = (bits.astype(np.uint32) << np.arange(w, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+                packed = payload[table["start"][part].astype(np.int64)[:, None] + np.arange(size)].astype(kind)
+                values = packed[:, byte]
+                for k in range(1, (w + 14) // 8):
+                    values |= packed[:, np.minimum(byte + k, size - 1)] << kind(8 * k)
+                grid[part] = values >> bit.astype(kind) & kind((1 << w) - 1)
     grid[np.repeat(np.arange(len(table)), table["extra"]), extra["at"]] = extra["value"]
     return (grid + table["min"][:, None]).reshape(-1)
 
