@@ -502,6 +502,32 @@ def test_token_blocks_of_every_width_with_few_operations_on_single_bits(monkeypa
         assert (tokenfile.unpack_blocks(table, np.frombuffer(payload, np.uint8), extra)[: len(ids)] == ids).all()
 
 
+def test_less_alike_documents_hide_no_near_passage(spark):
+    """Whatever is found without them is found between one to three smaller documents that are less alike, which stand first for some functions only."""
+    rng, vocab = random.Random(41), [f"w{i}" for i in range(20000)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    docs, others, where = [], [], {}
+    for i in range(300):
+        p = some(60)
+        for k in range(1 + i % 3):
+            q = list(p)
+            for x in rng.sample(range(60), 6):
+                q[x] = f"v{k}"
+            others.append((1000 * i + k + (200_000_000 if k == 1 else 0), " ".join([*some(30), *q, *some(30)])))
+        q = list(p)
+        q[rng.randrange(20, 40)] = "zzz"
+        before = some(rng.randrange(20, 90))
+        docs += [(100_000_000 + i, " ".join([*some(40), *p, *some(40)])), (300_000_000 + i, " ".join([*before, *q, *some(40)]))]
+        where[300_000_000 + i] = len(before)
+
+    def found(rows):
+        got = {r.doc_id: [(s.start, s.end) for s in r.repeated] for r in substring.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        return {i for i, at in where.items() if any(a <= at + 2 and b >= at + 58 for a, b in got[i])}
+
+    alone = found(docs)
+    assert len(alone) >= 290 and not alone - found(docs + others)
+
+
 def test_alike_parts_of_many_stretches():
     """Against all pairs of stretches; some parts have more than 64 of them."""
     rng = np.random.default_rng(5)
