@@ -613,3 +613,24 @@ def test_the_pipeline_cuts_passages_between_many_documents_that_are_less_alike(s
     assert out.columns == ["doc_id", "text"]
     left = {r.doc_id: len(r.text.split()) for r in out.collect()}
     assert sum(left[i] <= n - 56 for i, n in late.items()) >= 9
+
+
+def test_a_common_line_names_no_documents_that_share_nothing_else(spark, monkeypatch):
+    """Of the documents of a very common line, only those come as others that have as many of a window's tokens as a passage needs."""
+    rng = random.Random(11)
+    some = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    line, template = some(14), some(90)
+    docs = [(i, " ".join([*some(60), *line, *some(60)])) for i in range(200)]
+    for i in range(1000, 1130):
+        w = [*template[:45], *line, *template[45:]]
+        docs.append((i, " ".join(x if x in line or rng.random() < 11 / 12 else some(1)[0] for x in w)))
+    named, plain = [], substring._all_pairs
+
+    def noted(windows, n, *args):
+        pairs = plain(windows, n, *args)
+        named.extend(np.frombuffer(b"".join(bytes(r.others) for r in pairs.collect()), substring.STRETCH)["other"].tolist())
+        return pairs
+
+    monkeypatch.setattr(substring, "_all_pairs", noted)
+    substring.near_duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert named and min(named) >= 1000
