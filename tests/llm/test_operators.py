@@ -634,3 +634,20 @@ def test_a_common_line_names_no_documents_that_share_nothing_else(spark, monkeyp
     monkeypatch.setattr(substring, "_all_pairs", noted)
     substring.near_duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert named and min(named) >= 1000
+
+
+def test_tasks_of_token_files_give_memory_back(spark, tmp_path, monkeypatch):
+    """Workers that write or read token files return what they don't need before the next task."""
+    told = str(tmp_path / "told")
+
+    def noted():
+        with open(told, "a") as f:
+            f.write("x")
+
+    monkeypatch.setattr(tokenfile, "give_back", noted, raising=False)
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(20)], "doc_id long, text string")
+    got = tokenfile.token_file_digests(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(20))
+    # at least one task each that writes and reads
+    with open(told) as f:
+        assert len(f.read()) >= 2

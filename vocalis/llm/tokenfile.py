@@ -22,6 +22,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vocalis.llm.memory import give_back
 from vocalis.llm.pretokens import LibraryEncoder, encoder, read_tokenizer
 from vocalis.llm.workspace import Workspace, partitions
 
@@ -58,7 +60,8 @@ def pack_blocks(ids: np.ndarray, share: float = 0.9) -> tuple[np.ndarray, bytes,
     if n:
         table["width"] = _widths(np.partition(deltas, int(np.ceil(share * BLOCK)) - 1, axis=1)[:, int(np.ceil(share * BLOCK)) - 1])
     width = table["width"].astype(np.int64)
-    over = deltas >= (np.uint64(1) << width.astype(np.uint64))[:, None]
+    # of 32 bits none is wider
+    over = deltas > np.minimum((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1), np.uint64(0xFFFFFFFF)).astype(np.uint32)[:, None]
     row, col = np.nonzero(over)
     extra = np.zeros(len(row), EXTRA)
     extra["at"], extra["value"] = col, deltas[row, col]
@@ -166,6 +169,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int =
                     yield flush()
         if docs:
             yield flush()
+        give_back()
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     # texts of one id have an order too, and may stand in several parts
@@ -189,10 +193,11 @@ def read_token_files(written: DataFrame) -> DataFrame:
                 store, place = _store(path)
                 with store.open_input_stream(place) as f:
                     data = f.read()
-                docs = list(decode_file(data))
-                for k in range(0, len(docs), 2000):
-                    some = docs[k : k + 2000]
+                docs = decode_file(data)
+                del data
+                while some := list(islice(docs, 2000)):
                     yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in some], pa.int64()), pa.array([first + d[1] for d in some], pa.int64()), pa.array([len(d[2]) // 4 for d in some], pa.int64()), pa.array([d[2] for d in some], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+        give_back()
 
     return files.repartition(partitions(spark), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
