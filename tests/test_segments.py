@@ -38,3 +38,32 @@ def test_merge_short_equals_a_fold_however_large_the_key(spark):
     df = merge_short(spark.createDataFrame(shuffled, "k string, t int, start double, end double"), ["k"], "t")
     assert "collect_list" not in df._jdf.queryExecution().toString()
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
+
+
+def _events(folder, spark):
+    """Events whose values make whole, short, empty and (for a reference that begins a quarter of a second later) backward segments."""
+    values = [(1, 0, 30.0), (1, 5, 0.1), (1, 6, 0.0), (1, 20, 0.25), (2, 0, 0.0), (2, 1, 2.5), (2, 2, 0.2), (3, 4, 0.1)]
+    rows = [(i, user, at, "ab"[i % 2], value) for i, (user, at, value) in enumerate(values)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, at int, event_type string, value double")
+    df.selectExpr("event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, at) as ts", "user_id", "event_type", "value", "'{}' as props").write.parquet(f"{folder}/events.parquet")
+
+
+def _against_sql(spark, folder, name):
+    import duckdb
+
+    from vocalis.plans import registry
+
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    cur = con.execute(registry.oracle_sql()[name])
+    df = registry.queries()[name](spark, str(folder))
+    got = df.select(*(c[0] for c in cur.description)).collect()
+    return sorted(tuple(r) for r in got), sorted(cur.fetchall())
+
+
+def test_overlaps_of_empty_and_backward_segments_equal_their_sql(spark, tmp_path):
+    _events(tmp_path, spark)
+    got, want = _against_sql(spark, tmp_path, "der_overlap")
+    assert got == want and any(r[-1] < 0 for r in want)
+    got, want = _against_sql(spark, tmp_path, "der_rates")
+    assert got == want

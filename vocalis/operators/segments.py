@@ -164,15 +164,15 @@ def transfer_labels(segments: DataFrame, labels: DataFrame, keys: list[str], tie
 
 
 def _bins(df: DataFrame, widths: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each bin of the key's width that a span touches (``bin``, ``first_bin``)."""
+    """A row for each bin of the key's width that a span touches (``bin``, ``first_bin``), whichever of its ends comes first."""
     wide = df.join(widths, [df[k].eqNullSafe(widths[f"_{k}"]) for k in keys]).drop(*(f"_{k}" for k in keys))
-    low, high = (F.floor(F.col(c) / F.col("_width")) for c in ("start", "end"))
-    return wide.withColumn("first_bin", low).withColumn("bin", F.explode(F.sequence(low, F.greatest(low, high)))).drop("_width")
+    low, high = (F.floor(f("start", "end") / F.col("_width")) for f in (F.least, F.greatest))
+    return wide.withColumn("first_bin", low).withColumn("bin", F.explode(F.sequence(low, high))).drop("_width")
 
 
 def _widths(spans: DataFrame, keys: list[str]) -> DataFrame:
     """The mean duration of each key's spans. A span then touches at most two bins more than its share of the key's time, so all of them touch at most three a span."""
-    mean = F.avg(F.greatest(F.col("end") - F.col("start"), F.lit(0.0)))
+    mean = F.avg(F.abs(F.col("end") - F.col("start")))
     return spans.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.greatest(mean, F.lit(1e-3)).alias("_width"))
 
 
@@ -187,13 +187,15 @@ def tokens_in_blocks(tokens: DataFrame, blocks: DataFrame, key: str, block_id: s
     return hit.groupBy(F.col(f"b.{key}").alias(key), F.col("b._block").alias(block_id)).agg(text.alias("text"), F.count(F.lit(1)).alias("n_tokens"))
 
 
-def overlap_seconds(system: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
+def overlap_seconds(system: DataFrame, reference: DataFrame, keys: list[str], backward: bool = False) -> DataFrame:
     """Seconds that each label of the system shares with each label of the reference.
 
     Segments meet by key and time bin; a pair counts in the first bin that both touch. Null keys are a key.
+    Segments that do not end after they begin are nothing; with ``backward`` one that lies within a segment of the other side
+    counts as it is, with no seconds or fewer.
     """
     columns = [*keys, "start", "end", "label"]
-    sides = [x.select(*columns).filter("end > start") for x in (system, reference)]
+    sides = [x.select(*columns).filter("start is not null and end is not null" if backward else "end > start") for x in (system, reference)]
     widths = _widths(sides[0].unionByName(sides[1]), keys)
     s, r = _bins(sides[0], widths, keys).alias("s"), _bins(sides[1], widths, keys).alias("r")
     same = [F.col(f"s.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
