@@ -67,3 +67,9 @@ def test_overlaps_of_empty_and_backward_segments_equal_their_sql(spark, tmp_path
     assert got == want and any(r[-1] < 0 for r in want)
     got, want = _against_sql(spark, tmp_path, "der_rates")
     assert got == want
+
+
+def test_rttm_keeps_segments_without_duration(spark, tmp_path):
+    _events(tmp_path, spark)
+    got, want = _against_sql(spark, tmp_path, "rttm_roundtrip")
+    assert got == want and len(got) == 8

@@ -57,8 +57,10 @@ def parse_rttm(line: Column) -> Column:
     return F.struct(F.get(f, 1).alias("file_id"), F.get(f, 3).cast("double").alias("start"), (F.get(f, 4).cast("double") + F.get(f, 3).cast("double")).alias("end"), F.get(f, 7).alias("label"))
 
 
-def rttm_line(file_id: Column, start: Column, end: Column, label: Column) -> Column:
-    return F.format_string("SPEAKER %s 1   %.3f   %.3f <NA> <NA> %s <NA> <NA>", file_id, start, F.when(end - start > 0, end - start).otherwise(F.raise_error(F.lit("a segment has no duration")).cast("double")), label)
+def rttm_line(file_id: Column, start: Column, end: Column, label: Column, strict: bool = True) -> Column:
+    """A segment as a line; if ``strict``, one without a duration is an error."""
+    duration = F.when(end - start > 0, end - start).otherwise(F.raise_error(F.lit("a segment has no duration")).cast("double")) if strict else end - start
+    return F.format_string("SPEAKER %s 1   %.3f   %.3f <NA> <NA> %s <NA> <NA>", file_id, start, duration, label)
 
 
 def vtt_lines(start_ms: Column, end_ms: Column, text: Column) -> Column:
