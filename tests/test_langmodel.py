@@ -154,3 +154,34 @@ def test_model_decides_between_alike_sounds(spark):
     assert [r.rank for r in ranked] == [0, 1, 2] and ranked[0].score > ranked[1].score
     with pytest.raises(ValueError, match="single"):
         L.decode_beams(frames, ["msg"], "frame", "x", ["<pad>", "ab"])
+
+
+def test_runs_of_words_are_counted_as_by_hand(spark):
+    from vocalis.operators.corpus import ngram_counts
+
+    texts = ["a b a b", "", "a", None, " a  b", "a b"] + [f"w{i % 7} x y" for i in range(50)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for orders in ((1, 2, 3), (2,), (3, 1)):
+        want = collections.Counter((n, " ".join(w[i : i + n])) for t in texts if t is not None for w in [t.split(" ")] for n in orders for i in range(len(w) - n + 1))
+        assert {(r.ngram_order, r.gram): r.n for r in ngram_counts(df, F.col("t"), orders).collect()} == want
+
+
+def test_kneser_ney_counts_its_texts_once(spark, tmp_path):
+    from vocalis.operators.corpus import ngram_counts
+    from vocalis.operators.decoding import kneser_ney
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abcde", k=9)) for _ in range(200)]
+    spark.createDataFrame([(t,) for t in texts], "t string").write.parquet(str(tmp_path / "t"))
+    model = kneser_ney(ngram_counts(spark.read.parquet(str(tmp_path / "t")), F.col("t"), (1, 2)))
+    two = collections.Counter(g for t in texts for w in [t.split()] for g in zip(w, w[1:], strict=False))
+    kinds = {w: sum(b == w for _, b in two) / len(two) for w in "abcde"}
+    for r in model.collect():
+        words = tuple(r.gram.split())
+        total, right = (sum(f(n) for (a, _), n in two.items() if a == words[0]) for f in (lambda n: n, lambda n: 1))
+        p = kinds[words[0]] if len(words) == 1 else (two[words] - 0.75) / total + 0.75 * right / total * kinds[words[1]]
+        assert math.isclose(r.log10p, math.log10(p)) and (len(words) == 2 or math.isclose(r.backoff, math.log10(0.75 * right / total)))
+    lines = arpa_lines(model)
+    assert {"\\data\\", "\\end\\", "ngram 1=5", f"ngram 2={len(two)}", "\\1-grams:", "\\2-grams:"} <= {r.line for r in lines.collect()}
+    # nothing that is left to do reads the texts
+    assert "parquet" not in lines._jdf.queryExecution().executedPlan().toString()

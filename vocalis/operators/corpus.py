@@ -21,14 +21,11 @@ def top_words(counts: DataFrame, k: int) -> DataFrame:
 def ngram_counts(df: DataFrame, text: Column, orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Counts of runs of tokens, of each order."""
     t = df.select(F.split(text, " ").alias("t"))
-    gram = "struct<n:int,gram:string>"
-
-    def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size("t") - (n - 1), F.lit(1)))
-        return F.when(F.size("t") >= n, F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("t", i, n), " ").alias("gram")))).otherwise(F.array().cast(f"array<{gram}>"))
-
-    grams = F.flatten(F.array(*[runs(n) for n in orders]))
-    return t.select(F.explode(grams).alias("g")).groupBy(F.col("g.n").alias("ngram_order"), F.col("g.gram").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+    words = [f"w{k}" for k in range(max(orders))]
+    # a row for each place with the words from there on, null behind the end; texts of built-in expressions, since functions of elements are not compiled
+    places = t.select(F.inline(F.arrays_zip(*(F.slice("t", k + 1, F.size("t")).alias(w) for k, w in enumerate(words)))).alias(*words))
+    runs = F.array(*(F.struct(F.lit(n).alias("n"), F.concat(*[x for w in words[:n] for x in (F.lit(" "), F.col(w))][1:]).alias("gram")) for n in orders))
+    return places.select(F.explode(runs).alias("g")).filter("g.gram is not null").groupBy(F.col("g.n").alias("ngram_order"), F.col("g.gram").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def prune_ngrams(counts: DataFrame, thresholds: str = "0|8|9") -> DataFrame:

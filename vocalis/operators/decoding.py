@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from vocalis.functions.udf import arrow_function
@@ -107,8 +108,10 @@ def kneser_ney(counts: DataFrame, discount: float = 0.75) -> DataFrame:
     """Bigram and unigram log10 probabilities with interpolated Kneser-Ney and one discount.
 
     ``counts`` has ``ngram_order, gram, n`` of orders 1 and 2. Returns ``ngram_order, gram, log10p, backoff``.
+    The bigrams are counted once, at once, and lie on the executors' disks as long as the model is in use.
     """
-    two = counts.filter("ngram_order = 2").select("gram", "n", F.substring_index("gram", " ", 1).alias("w1"), F.substring_index("gram", " ", -1).alias("w2"))
+    two = counts.filter("ngram_order = 2").select("gram", "n").localCheckpoint(storageLevel=StorageLevel.DISK_ONLY)
+    two = two.select("gram", "n", F.substring_index("gram", " ", 1).alias("w1"), F.substring_index("gram", " ", -1).alias("w2"))
     kinds = two.agg(F.count(F.lit(1)).cast("double").alias("kinds"))
     # one row, a count
     ends = two.groupBy("w2").agg(F.count(F.lit(1)).alias("left_kinds")).join(F.broadcast(kinds)).select(F.col("w2").alias("word"), (F.col("left_kinds") / F.col("kinds")).alias("p"))
@@ -125,10 +128,10 @@ def arpa_lines(model: DataFrame) -> DataFrame:
     line = F.concat_ws("\t", F.format_string("%.6f", F.col("log10p")), "gram", F.when(F.col("backoff").isNotNull(), F.format_string("%.6f", F.col("backoff"))))
     body = model.select(F.col("ngram_order").alias("section"), F.lit(1).alias("part"), F.col("gram").alias("key"), line.alias("line"))
     sizes = model.groupBy("ngram_order").agg(F.count(F.lit(1)).alias("n"))
-    counts = sizes.select(F.lit(0).alias("section"), F.lit(1).alias("part"), F.col("ngram_order").cast("string").alias("key"), F.format_string("ngram %d=%d", "ngram_order", "n").alias("line"))
-    heads = sizes.select(F.col("ngram_order").alias("section"), F.lit(0).alias("part"), F.lit("").alias("key"), F.format_string("\\%d-grams:", "ngram_order").alias("line"))
-    ends = model.sparkSession.createDataFrame([(0, 0, "", "\\data\\"), (99, 0, "", "\\end\\")], "section int, part int, key string, line string")
-    return body.unionByName(counts).unionByName(heads).unionByName(ends)
+    count = F.struct(F.lit(0).alias("section"), F.lit(1).alias("part"), F.col("ngram_order").cast("string").alias("key"), F.format_string("ngram %d=%d", "ngram_order", "n").alias("line"))
+    head = F.struct(F.col("ngram_order").alias("section"), F.lit(0).alias("part"), F.lit("").alias("key"), F.format_string("\\%d-grams:", "ngram_order").alias("line"))
+    ends = model.sparkSession.range(1).selectExpr(r"inline(array(named_struct('section', 0, 'part', 0, 'key', '', 'line', r'\data\'), named_struct('section', 99, 'part', 0, 'key', '', 'line', r'\end\')))")
+    return body.unionByName(sizes.select(F.inline(F.array(count, head)))).unionByName(ends)
 
 
 def label_ids(text: Column, ids: dict[str, int], unknown: int, delimiter: str = "|") -> Column:
