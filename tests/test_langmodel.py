@@ -185,3 +185,23 @@ def test_kneser_ney_counts_its_texts_once(spark, tmp_path):
     assert {"\\data\\", "\\end\\", "ngram 1=5", f"ngram 2={len(two)}", "\\1-grams:", "\\2-grams:"} <= {r.line for r in lines.collect()}
     # nothing that is left to do reads the texts
     assert "parquet" not in lines._jdf.queryExecution().executedPlan().toString()
+
+
+def test_modified_kneser_ney_counts_its_texts_once_and_null_texts_as_empty(spark, tmp_path):
+    import duckdb
+
+    from vocalis.plans import registry
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abcdefg", [9, 6, 4, 3, 2, 1, 1], k=rng.randrange(8))) for _ in range(90)] + [None, "", None, " a  b "]
+    spark.createDataFrame(list(enumerate(texts)), "conv_id long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    model = registry.queries()["modified_kneser_ney"](spark, str(tmp_path))
+    got = {r.gram: (r.ngram_order, r.log10p, r.backoff) for r in model.collect()}
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = {gram: (order, p, backoff) for order, gram, p, backoff in con.execute(registry.oracle_sql()["modified_kneser_ney"]).fetchall()}
+    assert got.keys() == want.keys()
+    for gram, (order, p, backoff) in want.items():
+        assert got[gram][0] == order and math.isclose(got[gram][1], p, abs_tol=1.1e-5)
+        assert (got[gram][2] is None) == (backoff is None) and (backoff is None or math.isclose(got[gram][2], backoff, abs_tol=1.1e-5))
+    assert "parquet" not in model._jdf.queryExecution().executedPlan().toString()

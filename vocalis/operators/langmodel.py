@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,16 +26,17 @@ FALLBACK = (0.5, 1.0, 1.5)
 
 
 def sentence_grams(df: DataFrame, tokens: Column, order: int) -> DataFrame:
-    """``ngram_order, gram, n`` of sentences given as arrays of words: how often each run of words is there, ``<s>`` and ``</s>`` included."""
-    framed = df.select(F.concat(F.array(F.lit(BEGIN)), F.filter(tokens, lambda w: w.isNotNull() & (w != "")), F.array(F.lit(END))).alias("t"))
+    """``ngram_order, gram, n`` of sentences given as arrays of words: how often each run of words is there, ``<s>`` and ``</s>`` included.
 
-    def runs(n: int) -> Column:
-        # a sentence has at least two tokens
-        last = F.size("t") - (n - 1)
-        starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("o"), F.array_join(F.slice("t", i, n), " ").alias("gram")))
-
-    grams = framed.select(F.explode(F.flatten(F.array(*[runs(n) for n in range(1, order + 1)]))).alias("g"))
+    A null sentence has no words.
+    """
+    said = F.coalesce(F.filter(tokens, lambda w: w.isNotNull() & (w != "")), F.array().cast("array<string>"))
+    framed = df.select(F.concat(F.array(F.lit(BEGIN)), said, F.array(F.lit(END))).alias("t"))
+    words = [f"w{k}" for k in range(order)]
+    # a row for each place with the words from there on, null behind the end
+    places = framed.select(F.inline(F.arrays_zip(*(F.slice("t", k + 1, F.size("t")).alias(w) for k, w in enumerate(words)))).alias(*words))
+    runs = F.array(*(F.struct(F.lit(n).alias("o"), F.concat(*[x for w in words[:n] for x in (F.lit(" "), F.col(w))][1:]).alias("gram")) for n in range(1, order + 1)))
+    grams = places.select(F.explode(runs).alias("g")).filter("g.gram is not null")
     return grams.groupBy(F.col("g.o").alias("ngram_order"), F.col("g.gram").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -59,18 +61,20 @@ def _thresholds(prune: str, order: int) -> list[int]:
 def modified_kneser_ney(counts: DataFrame, order: int, prune: str = "0") -> DataFrame:
     """``ngram_order, gram, log10p, backoff`` from ``ngram_order, gram, n`` of all orders up to ``order``; ``backoff`` is null in the highest.
 
-    A table without n-grams gives ``<unk>`` alone.
+    A table without n-grams gives ``<unk>`` alone. N-grams are counted once, at once, and lie on the executors' disks
+    with their adjusted counts as long as the model is in use.
     """
     limits = _thresholds(prune, order)
     n = F.col("ngram_order")
-    last, before = F.substring_index("gram", " ", -1), F.when(n > 1, F.expr("substring_index(gram, ' ', ngram_order - 1)")).otherwise("")
-    raw = counts.filter(n <= order).select("ngram_order", "gram", "n", last.alias("word"), before.alias("context"), F.when(n > 1, F.expr("substring_index(gram, ' ', 1 - ngram_order)")).otherwise("").alias("suffix"))
-    after = raw.filter(n > 1).groupBy((n - 1).alias("ngram_order"), F.col("suffix").alias("gram")).agg(F.count(F.lit(1)).alias("kinds"))
+    before, suffix = (F.when(n > 1, F.expr(f"substring_index(gram, ' ', {k})")).otherwise("") for k in ("ngram_order - 1", "1 - ngram_order"))
+    raw = counts.filter(n <= order).select("ngram_order", "gram", "n").localCheckpoint(storageLevel=StorageLevel.DISK_ONLY)
+    after = raw.filter(n > 1).groupBy((n - 1).alias("ngram_order"), suffix.alias("gram")).agg(F.count(F.lit(1)).alias("kinds"))
     framed = F.substring_index("gram", " ", 1) == BEGIN
     limit = F.element_at(F.array(*map(F.lit, limits)), n)
     adjusted = F.when((n == order) | framed, F.col("n")).otherwise(F.coalesce("kinds", F.lit(0)))
     every = raw.join(after, ["ngram_order", "gram"], "left").filter(F.col("gram") != BEGIN)
-    every = every.select("ngram_order", "gram", "word", "context", "suffix", adjusted.alias("a"), (F.col("n") <= limit).alias("gone"))
+    every = every.select("ngram_order", "gram", adjusted.alias("a"), (F.col("n") <= limit).alias("gone")).localCheckpoint(storageLevel=StorageLevel.DISK_ONLY)
+    every = every.withColumns({"context": before, "suffix": suffix})
     # four counts for each order
     seen = {r.ngram_order: [r.t1, r.t2, r.t3, r.t4] for r in every.groupBy("ngram_order").agg(*(F.sum((F.col("a") == k).cast("long")).alias(f"t{k}") for k in range(1, 5))).collect()}
     table = F.array(*(F.array(F.lit(0.0), *map(F.lit, discounts(seen.get(k, [0] * 4)))) for k in range(1, order + 1)))

@@ -11,7 +11,7 @@ from vocalis.operators import langmodel as L
 from vocalis.operators import voice as V
 from vocalis.operators.decoding import ctc_greedy
 from vocalis.plans.signal_queries import VOCAB, frames
-from vocalis.plans.tables import read, segments, segments_sql
+from vocalis.plans.tables import read, segments, segments_sql, spread
 from vocalis.streaming.overwriter import WORD_START, fold_responses, overwrite_batch, response_text, spelled_model
 
 HOP = 12
@@ -36,7 +36,7 @@ def _overwrites(s, d):
 
 
 def _sentences(s, d):
-    return read(s, d, "conversations").select(F.split("text", " ").alias("t"))
+    return spread(read(s, d, "conversations").select("text")).select(F.split("text", " ").alias("t"))
 
 
 def _model(s, d):
