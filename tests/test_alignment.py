@@ -94,3 +94,39 @@ def test_edit_symbols_of_texts_with_stars(spark):
     df = spark.createDataFrame(rows, "i int, r string, h string").select("i", align_characters("r", "h").alias("a"))
     got = {r.i: r.e for r in df.select("i", edit_symbols(df["a.pairs"]).alias("e")).collect()}
     assert got == {0: "ccccccc", 1: "ccsc-c", 2: "ccc", 3: "csc", 4: "csc", 5: "---", 6: "++", 7: "c+c"}
+
+
+def test_distances_by_bounds_equal_the_whole_table(monkeypatch):
+    rng = random.Random(11)
+    pairs = []
+    for k in range(400):
+        a = rng.choices(["ab", "abcdefgh"][k % 2], k=rng.randrange(1, 90))
+        b = list(a) if k % 3 else rng.choices("abc", k=rng.randrange(1, 90))
+        for _ in range(rng.randrange(12) * (k % 3)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choices("abz", k=rng.randrange(2))
+        pairs.append((a, b[len(b) // 4 :] + b[: len(b) // 4] if k % 5 == 0 else b))
+
+    def by_table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    want = [by_table(a, b) for a, b in pairs]
+    for stretch, narrow, whole in ((1, 2, 0), (4, 6, 8), (16, 64, 20), (128, 192, 10_000)):
+        monkeypatch.setattr(A, "STRETCH", stretch)
+        monkeypatch.setattr(A, "NARROW", narrow)
+        monkeypatch.setattr(A, "WHOLE", whole)
+        assert [A.edit_distance(a, b) for a, b in pairs] == want
+
+
+def test_pairs_alone_need_no_table(monkeypatch):
+    ref = ["w", "the", "x"] * 20_000
+    hyp = ["a" if w == "the" else w for w in ref]
+    assert A._edit_counts(ref, ref[:-1]) == (59_999, 0, 0, 1)
+    monkeypatch.setattr(A.np, "full", None)
+    monkeypatch.setattr(A, "_bits", None)
+    assert A._edit_counts(ref, hyp) == (40_000, 20_000, 0, 0)
