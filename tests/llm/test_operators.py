@@ -651,3 +651,20 @@ def test_tasks_of_token_files_give_memory_back(spark, tmp_path, monkeypatch):
     # at least one task each that writes and reads
     with open(told) as f:
         assert len(f.read()) >= 2
+
+
+def test_candidates_within_repeated_words_are_not_looked_at(monkeypatch):
+    rng = np.random.default_rng(3)
+    limits = (50, 10, 0.8)
+    calls = []
+    plain = substring.verified_spans
+    monkeypatch.setattr(substring, "verified_spans", lambda *a: calls.append(a) or plain(*a))
+    for known in ([], [(10, 75)]):
+        s = rng.integers(1, 1 << 60, 400).astype(np.uint64)
+        near = s[100:190].copy()
+        near[40] = 7
+        other = [(100, 200, s[100:190].tobytes()), (90, 210, near.tobytes()), (120, 185, s[110:180].tobytes()), (20, 60, s[20:60].tobytes()), (300, 420, s[300:400].tobytes()), (300, 380, s[300:400].tobytes())]
+        want = substring.merge_spans([*known, *(x for lo, hi, g in other for x in plain(s, lo, hi, np.frombuffer(g, np.uint64), *limits))])
+        calls.clear()
+        assert substring.all_verified(s, other * 2, known, *limits) == want
+        assert len(calls) < len(other) and all((lo, hi) != (300, 380) for _, lo, hi, *_ in calls)
